@@ -31,9 +31,49 @@ def op4_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, write_ids(table(spark, sf_dir, "documents"), Path(path).read_text(), end_id=0))
 
 
+#: The rules of the query; ``URL_LISTED`` below stands for a block list of page keys.
+URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No block list comes with the tables; keys whose md5 starts with 0 (one in 16) stand for one."""
+    from pyspark.sql import functions as F
+
+    from .urlfilter import Rule, judge_pages
+
+    return judge_pages(table(spark, sf_dir, "pages"), [Rule(*r) for r in URL_RULES], lambda key: F.md5(key).startswith("0"))
+
+
+OP3_SQL = r"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(coalesce(r, ''), '\A[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(r, ''), '\A[^/?#]*([^?#]*)', 1) AS path FROM rest
+), ruled AS (
+  SELECT page_id, host, path, CASE
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM parts
+)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+    WHEN starts_with(md5(host || path), '0') THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+""".replace("\\\\", "\\")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op4_token_planes)}
+    return {f.__name__: f for f in (op2_byte_bpe, op3_url_filter, op4_token_planes, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_filter": OP3_SQL}

@@ -65,6 +65,32 @@ FROM ruled
 """.replace("\\\\", "\\")
 
 
+def op5_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pivots import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+def op9_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .avi import media_documents
+
+    return media_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -72,8 +98,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_url_filter, op4_token_planes, op10_mixing)}
+    return {f.__name__: f for f in (op2_byte_bpe, op3_url_filter, op4_token_planes, op5_pivot_topk, op9_avi_media, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL}
+    return {"op3_url_filter": OP3_SQL, "op5_pivot_topk": OP5_SQL}

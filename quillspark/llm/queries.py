@@ -85,6 +85,13 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
@@ -92,6 +99,13 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .avi import media_documents
 
@@ -105,7 +119,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_url_filter, op4_token_planes, op5_pivot_topk, op7_near_dedup, op9_avi_media, op10_mixing)}
+    return {f.__name__: f for f in (op2_byte_bpe, op3_url_filter, op4_token_planes, op5_pivot_topk, op6_toxicity, op7_near_dedup, op8_quality, op9_avi_media, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -184,3 +184,14 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id bigint, score double")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def filtered(docs: DataFrame, model: Model, keep, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns as they are, for which ``keep(score >= threshold)`` holds; no join, one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow_rows(batches):
+            x = np.array([statistics(t or "") for t in batch.column(batch.schema.get_field_index("text")).to_pylist()])
+            yield batch.filter(pa.array(keep(model.score(x) >= threshold)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -17,6 +17,19 @@ def _vocabulary(name: str) -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths: source, language and groups of ids make a tree, whose every 20th document is a licence file."""
+    from pyspark.sql import functions as F
+
+    from .licences import scan
+
+    docs = table(spark, sf_dir, "documents")
+    name = F.when(F.col("doc_id") % 20 == 0, "LICENSE.txt").otherwise(F.concat(F.lit("doc"), F.col("doc_id"), F.lit(".txt")))
+    deep = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("d"), F.expr("doc_id % 7"), F.lit("/"))).otherwise("")
+    path = F.concat("source", F.lit("/"), "lang", F.lit("/g"), F.expr("doc_id div 100"), F.lit("/"), deep, name)
+    return scan(docs.withColumn("path", path))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_documents
 
@@ -119,7 +132,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_url_filter, op4_token_planes, op5_pivot_topk, op6_toxicity, op7_near_dedup, op8_quality, op9_avi_media, op10_mixing)}
+    import corpus_pipeline
+
+    found = {f.__name__: f for f in (op1_license_scan, op2_byte_bpe, op3_url_filter, op4_token_planes, op5_pivot_topk, op6_toxicity, op7_near_dedup, op8_quality, op9_avi_media, op10_mixing)}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

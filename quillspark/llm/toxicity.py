@@ -31,8 +31,8 @@ from .labelled import SAMPLE, held_out, training_rows
 
 TOKEN = re.compile(r"[\w@$]+")
 LEET = str.maketrans("01345@$7", "oieasast")
-#: A term needs so many toxic documents, and so large a log ratio at the lower end of its 95 % interval.
-MIN_DOCS, MIN_RATIO, MAX_TERMS = 4, 1.5, 4_000
+#: A term needs so many toxic documents, such a share of them, and so large a log ratio at the lower end of its 95 % interval.
+MIN_DOCS, MIN_SHARE, MIN_RATIO, MAX_TERMS = 4, 0.01, 1.5, 4_000
 WINDOW = 6
 # Fixed word lists: verbs of reporting, and words of address.
 REPORTING = frozenset("said says quoted quote called wrote word words term dit disait écrit sagte sagt schrieb dijo dice escribió".split())
@@ -216,12 +216,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     p, n = F.col("pos") + 0.5, F.col("neg") + 0.5
     ratio = F.log(p / (pos + 1)) - F.log(n / (neg + 1)) - 1.96 * F.sqrt(1 / p + 1 / n)
     schema = "term string, pos bigint, neg bigint"
+    enough = max(MIN_DOCS, math.ceil(MIN_SHARE * pos))
     # terms of toxic rows first, so that the counts over all rows stay small
-    likely = _counts(rows.where("label = 1"), _terms, schema).where(F.col("pos") >= MIN_DOCS)
+    likely = _counts(rows.where("label = 1"), _terms, schema).where(F.col("pos") >= enough)
     seen = {r.term: r.pos for r in likely.orderBy(F.desc("pos"), "term").limit(50 * MAX_TERMS).select("term", "pos").collect()}
     wanted = frozenset(seen)
     counted = _counts(rows, lambda text: _terms(text) & wanted, schema)
-    strong = counted.withColumn("ratio", ratio).where((F.col("ratio") >= MIN_RATIO) & (F.col("pos") >= MIN_DOCS)).orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).collect()
+    strong = counted.withColumn("ratio", ratio).where((F.col("ratio") >= MIN_RATIO) & (F.col("pos") >= enough)).orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).collect()
     weight = {r.term: r.ratio / 2 for r in strong}
     words = [t for t in weight if not t.endswith("*")]
     most: Counter = Counter()  # documents of the most frequent word under a stem

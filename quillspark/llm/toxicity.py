@@ -2,8 +2,8 @@
 
 Learning (on a bounded sample of labelled rows): words, and stems that open several words,
 that occur far more often in toxic documents make the lexicon.  Matching: a token is walked
-through the lexicon's trie by a Levenshtein automaton, so a term counts at edit distance 1
-(5 letters or more) or 2 (10 letters or more); stems must match exactly.  Context: an
+through the intersection of the lexicon's trie with the terms' Levenshtein automata, so a
+term counts at edit distance 1 (5 letters or more) or 2 (10 letters or more); stems must match exactly.  Context: an
 occurrence between quotation marks or near a word of reporting counts as quotation, one near
 a word of address as abuse.  A logistic model over these sums gives the score.
 
@@ -32,7 +32,8 @@ from .labelled import SAMPLE, held_out, training_rows
 TOKEN = re.compile(r"[\w@$]+")
 LEET = str.maketrans("01345@$7", "oieasast")
 #: A term needs so many toxic documents, such a share of them, and so large a log ratio at the lower end of its 95 % interval.
-MIN_DOCS, MIN_SHARE, MIN_RATIO, MAX_TERMS = 4, 0.01, 1.5, 4_000
+#: (and so large a part of the best term's).
+MIN_DOCS, MIN_SHARE, MIN_RATIO, MIN_PART, MAX_TERMS = 4, 0.01, 1.5, 0.55, 4_000
 WINDOW = 6
 # Fixed word lists: verbs of reporting, and words of address.
 REPORTING = frozenset("said says quoted quote called wrote word words term dit disait écrit sagte sagt schrieb dijo dice escribió".split())
@@ -40,6 +41,8 @@ ADDRESS = frozenset("you your you're u du dich dir ihr euch tu te toi vous usted
 OPENING, CLOSING = "\"“«„", "\"”»“"
 #: Verdicts on tokens that one worker remembers.
 CACHE = 400_000
+#: States of the automaton that one worker remembers.
+STATES = 50_000
 
 
 def tokens_of(text: str) -> list[str]:
@@ -51,57 +54,91 @@ def plain(token: str) -> str:
     return token if token.isalpha() or token.isdigit() else token.translate(LEET).strip("_")
 
 
-class Levenshtein:
-    """The automaton of all strings within ``most`` edits of a word; a state is a row of distances, cut at most + 1."""
-
-    def __init__(self, word: str, most: int) -> None:
-        self.word, self.most = word, most
-
-    def start(self) -> tuple[int, ...]:
-        return tuple(min(i, self.most + 1) for i in range(len(self.word) + 1))
-
-    def step(self, state: tuple[int, ...], c: str) -> tuple[int, ...]:
-        out = [min(state[0] + 1, self.most + 1)]
-        for i, w in enumerate(self.word):
-            out.append(min(out[i] + 1, state[i + 1] + 1, state[i] + (w != c), self.most + 1))
-        return tuple(out)
-
-    def dead(self, state: tuple[int, ...]) -> bool:
-        return min(state) > self.most
-
-
 def edits_allowed(term: str) -> int:
     return 2 if len(term) >= 10 else 1 if len(term) >= 5 else 0
 
 
+class TrieAutomaton:
+    """The Levenshtein automaton of all terms at once: its states are sets of trie nodes with edits so far.
+
+    Sets are made deterministic as tokens ask for them and remembered, so a token costs one
+    lookup a character, and most tokens fall out after a few.
+    """
+
+    def __init__(self, terms: list[str]) -> None:
+        self.children: list[dict[str, int]] = [{}]
+        self.allowed, self.ends = [0], [""]
+        for t in terms:
+            node, most = 0, edits_allowed(t)
+            for c in t:
+                self.allowed[node] = max(self.allowed[node], most)
+                if c not in self.children[node]:
+                    self.children[node][c] = len(self.children)
+                    self.children.append({})
+                    self.allowed.append(0)
+                    self.ends.append("")
+                node = self.children[node][c]
+            self.allowed[node] = max(self.allowed[node], most)
+            self.ends[node] = t
+        self.forget()
+
+    def forget(self) -> None:
+        self.ids: dict[tuple, int] = {}
+        self.sets: list[dict[int, int]] = []
+        self.accepts: list[tuple[int, str] | None] = []
+        self.moves: list[dict[str, int]] = []
+        self.begin = self._state({0: 0})
+
+    def _state(self, nodes: dict[int, int]) -> int:
+        """Number of a set, after adding what skipped letters of terms reach."""
+        stack = list(nodes.items())
+        while stack:
+            node, e = stack.pop()
+            if nodes.get(node) == e:
+                for below in self.children[node].values():
+                    if e + 1 <= self.allowed[below] and e + 1 < nodes.get(below, 9):
+                        nodes[below] = e + 1
+                        stack.append((below, e + 1))
+        key = tuple(sorted(nodes.items()))
+        if key not in self.ids:
+            self.ids[key] = len(self.sets)
+            self.sets.append(nodes)
+            self.moves.append({})
+            ends = [(e, self.ends[n]) for n, e in nodes.items() if self.ends[n] and e <= edits_allowed(self.ends[n])]
+            self.accepts.append(min(ends, default=None))
+        return self.ids[key]
+
+    def _move(self, state: int, c: str) -> int:
+        after: dict[int, int] = {}
+        for node, e in self.sets[state].items():
+            for letter, below in self.children[node].items():
+                cost = e + (letter != c)
+                if cost <= self.allowed[below] and cost < after.get(below, 9):
+                    after[below] = cost
+            if e + 1 <= self.allowed[node] and e + 1 < after.get(node, 9):
+                after[node] = e + 1
+        self.moves[state][c] = to = self._state(after) if after else -1
+        return to
+
+    def find(self, token: str) -> tuple[int, str] | None:
+        """Edits and term of the nearest term within its own limit."""
+        if len(self.sets) > STATES:
+            self.forget()
+        state = self.begin
+        for c in token:
+            to = self.moves[state].get(c)
+            state = self._move(state, c) if to is None else to
+            if state < 0:
+                return None
+        return self.accepts[state]
+
+
 class Lexicon:
-    """Terms and stems with weights, in a trie."""
+    """Terms and stems with weights."""
 
     def __init__(self, words: dict[str, float], stems: dict[str, float]) -> None:
         self.words, self.stems = words, stems
-        self.trie: dict = {}
-        for w in words:
-            node = self.trie
-            for c in w:
-                node = node.setdefault(c, {})
-            node[""] = w
-        # An edit leaves one half of a term as it is, two edits one third: parts that a token must
-        # have in its place, each with the token lengths for which it counts (as bits).
-        self.heads: dict[str, int] = {}
-        self.tails: dict[str, int] = {}
-        self.mids: dict[str, int] = {}
-        for w in words:
-            if e := edits_allowed(w):
-                cut = len(w) // (1 + e)
-                lengths = sum(1 << n for n in range(len(w) - e, len(w) + e + 1))
-                parts = [(self.heads, w[:cut]), (self.tails, w[cut:] if e == 1 else w[-cut:])] + [(self.mids, w[cut:-cut])] * (e == 2)
-                for index, part in parts:
-                    index[part] = index.get(part, 0) | lengths
-        self.lengths = 0
-        for x in self.heads.values():
-            self.lengths |= x
-        self.head_sizes = sorted({len(x) for x in self.heads})
-        self.tail_sizes = sorted({len(x) for x in self.tails})
+        self.automaton = TrieAutomaton(sorted(words))
         self.stem_sizes = sorted({len(x) for x in stems})
         self.seen: dict[str, tuple[str, float] | None] = {}
 
@@ -115,30 +152,11 @@ class Lexicon:
         return out
 
     def _match(self, token: str) -> tuple[str, float] | None:
-        if token in self.words:
-            return token, self.words[token]
         for n in self.stem_sizes:
             if token[:n] in self.stems:
                 return token[:n], self.stems[token[:n]]
-        if not self.lengths >> (n := len(token)) & 1:
-            return None
-        bit = 1 << n
-        heads, tails = self.heads, self.tails
-        near = any(heads.get(token[:k], 0) & bit for k in self.head_sizes) or any(tails.get(token[-k:], 0) & bit for k in self.tail_sizes)
-        if not near and not any(x & bit and m in token for m, x in self.mids.items()):
-            return None
-        best: tuple[int, str] | None = None
-        auto = Levenshtein(token, 2 if len(token) >= 8 else 1)
-        stack = [(self.trie, auto.start())]
-        while stack:
-            node, state = stack.pop()
-            for c, below in node.items():
-                if c == "":
-                    if state[-1] <= edits_allowed(below) and (best is None or (state[-1], below) < best):
-                        best = state[-1], below
-                elif not auto.dead(after := auto.step(state, c)):
-                    stack.append((below, after))
-        return (best[1], self.words[best[1]] * 0.7 ** best[0]) if best else None
+        found = self.automaton.find(token)
+        return (found[1], self.words[found[1]] * 0.7 ** found[0]) if found else None
 
     def features(self, text: str) -> list[float]:
         """Sums over the matched occurrences: abuse, quotation, address, different terms, and their density."""
@@ -223,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     wanted = frozenset(seen)
     counted = _counts(rows, lambda text: _terms(text) & wanted, schema)
     strong = counted.withColumn("ratio", ratio).where((F.col("ratio") >= MIN_RATIO) & (F.col("pos") >= enough)).orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).collect()
-    weight = {r.term: r.ratio / 2 for r in strong}
+    weight = {r.term: r.ratio / 2 for r in strong if r.ratio >= MIN_PART * strong[0].ratio}
     words = [t for t in weight if not t.endswith("*")]
     most: Counter = Counter()  # documents of the most frequent word under a stem
     for t in seen:

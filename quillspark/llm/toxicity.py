@@ -32,8 +32,9 @@ from .labelled import SAMPLE, held_out, training_rows
 TOKEN = re.compile(r"[\w@$]+")
 LEET = str.maketrans("01345@$7", "oieasast")
 #: A term needs so many toxic documents, such a share of them, and so large a log ratio at the lower end of its 95 % interval.
-#: (and so large a part of the best term's).
-MIN_DOCS, MIN_SHARE, MIN_RATIO, MIN_PART, MAX_TERMS = 4, 0.01, 1.5, 0.55, 4_000
+#: (and so large a part of the best term's; less for stems, which stand for many words).
+MIN_DOCS, MIN_SHARE, MIN_RATIO, MIN_PART, STEM_PART, MAX_TERMS = 4, 0.01, 1.5, 0.5, 0.3, 4_000
+STEMS = (4, 5, 6, 7, 8)
 WINDOW = 6
 # Fixed word lists: verbs of reporting, and words of address.
 REPORTING = frozenset("said says quoted quote called wrote word words term dit disait écrit sagte sagt schrieb dijo dice escribió".split())
@@ -217,9 +218,9 @@ def _counts(rows: DataFrame, of, schema: str) -> DataFrame:
 
 
 def _terms(text: str) -> set[str]:
-    """Words, and stems of 4 to 6 letters with a star."""
+    """Words, and their stems with a star."""
     words = {w for w in map(plain, set(tokens_of(text))) if len(w) >= 3}
-    stems = {w[:n] for n in (4, 5, 6) for w in words if len(w) > n}
+    stems = {w[:n] for n in STEMS for w in words if len(w) > n}
     return words | {f"{x}*" for x in stems}
 
 
@@ -241,18 +242,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     wanted = frozenset(seen)
     counted = _counts(rows, lambda text: _terms(text) & wanted, schema)
     strong = counted.withColumn("ratio", ratio).where((F.col("ratio") >= MIN_RATIO) & (F.col("pos") >= enough)).orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).collect()
-    weight = {r.term: r.ratio / 2 for r in strong if r.ratio >= MIN_PART * strong[0].ratio}
+    weight = {r.term: r.ratio / 2 for r in strong if r.ratio >= (STEM_PART if r.term.endswith("*") else MIN_PART) * strong[0].ratio}
     words = [t for t in weight if not t.endswith("*")]
     most: Counter = Counter()  # documents of the most frequent word under a stem
     for t in seen:
         if not t.endswith("*"):
-            for k in (4, 5, 6):
+            for k in STEMS:
                 most[t[:k]] = max(most[t[:k]], seen[t])
     stems: dict[str, float] = {}
     for t in sorted((t[:-1] for t in weight if t.endswith("*")), key=lambda t: (len(t), t)):
-        if seen[f"{t}*"] > 1.5 * most[t] and not any(t[:k] in stems for k in (4, 5)):
+        if seen[f"{t}*"] > 1.5 * most[t] and not any(t[:k] in stems for k in STEMS):
             stems[t] = weight[f"{t}*"]
-    model = Model({w: weight[w] for w in words if not any(w[:n] in stems for n in (4, 5, 6))}, stems)
+    model = Model({w: weight[w] for w in words if not any(w[:n] in stems for n in STEMS)}, stems)
     kept = rows.select("text", F.col("label").cast("double").alias("label"))
     table = np.array([[r.label, *r.f] for r in kept.mapInArrow(_featured(model, 1), "label double, f array<double>").collect()])
     model.weights = _logistic(table[:, 1:], table[:, 0])

@@ -226,7 +226,7 @@ def _nodes(docs: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document, and ``node`` (null: empty set)."""
     rows = written(_nodes(docs, shingle_words, percent, miss), "nd-rows")
-    reps = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "th", "bands")).alias("r")).select("node", "r.*")
+    reps = rows.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "bands")).alias("r")).select("node", "r.doc_id", "r.th", "r.bands")
     reps = written(reps, "nd-nodes")
     banded = reps.select("node", F.posexplode("bands").alias("band", "h"))
     buckets = banded.groupBy("band", "h").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1").drop("size")

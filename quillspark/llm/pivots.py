@@ -93,18 +93,12 @@ def _packed(rows: DataFrame, parts: int, pivots: dict[int, np.ndarray]) -> DataF
 def _matrix(table: pa.Table, dim: int) -> tuple[np.ndarray, ...]:
     join = lambda name: b"".join(table.column(name).to_pylist())
     x = np.frombuffer(join("values"), np.int32).reshape(-1, dim)
-    d = np.frombuffer(join("dists"), np.float64).reshape(len(x), -1)
+    d = np.frombuffer(join("dists"), np.float64).reshape(len(x), -1) if len(x) else np.zeros((0, 0))
     return np.frombuffer(join("ids"), np.int64), np.frombuffer(join("nulls"), bool), x, d, np.frombuffer(join("rows"), np.int64)
 
 
-def search(ids: np.ndarray, x: np.ndarray, d: np.ndarray, q: np.ndarray, qd: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Places and scores of the k best rows for one query (ties: all ids at least as small are seen), and how many were evaluated."""
-    norms = np.einsum("ij,ij->i", x, x, dtype=np.float64)
-    qn = float((q.astype(np.float64) ** 2).sum())
-    return _search(ids, x, norms, d, q, qn, qd, k)
-
-
-def _search(ids, x, norms, d, q, qn, qd, k):
+def _search(ids: np.ndarray, x: np.ndarray, norms: np.ndarray, d: np.ndarray, q: np.ndarray, qn: float, qd: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places and scores of the k best rows for one query, and how many rows were evaluated."""
     gap = np.abs(d - qd).max(axis=1) if d.shape[1] else np.zeros(len(x))
     bound = (qn + norms - gap * gap * (1 - 1e-9)) / 2 + 1 + 1e-9 * (qn + norms)
     seen = np.zeros(0, np.int64)

@@ -121,7 +121,7 @@ UNION ALL SELECT CAST((SELECT count(*) FROM fused) + row_number() OVER (ORDER BY
     "token_sets": f"WITH {DOC_SETS} SELECT doc_id, len(t) AS tokens, list_min(t) AS first, list_max(t) AS last FROM sets",
     "distinct_tokens": f"WITH {DOC_SETS} SELECT token, count(*) AS docs FROM (SELECT unnest(t) AS token FROM sets) GROUP BY token",
     "near_duplicates": f"WITH sets AS (SELECT doc_id AS k, {TOKENS.format('text')} AS t FROM documents), {JOINED.format(0.6, 20)} SELECT a, b, round(s, 6) AS similarity FROM similars",
-    "conflicting_claims": f"""WITH sets AS (SELECT ('conv-' || CAST(conv_id AS STRING), turn) AS k, {TOKENS.format('text')} AS t FROM conversations WHERE role = 'user'), {JOINED.format(0.6, 1)}
+    "conflicting_claims": f"""WITH sets AS (SELECT ('conv-' || CAST(conv_id AS STRING), turn) AS k, {TOKENS.format('text')} AS t FROM conversations WHERE role = 'user'), {JOINED.format(0.3, 1)}
 SELECT a[1] AS slug_a, a[2] AS idx_a, b[1] AS slug_b, b[2] AS idx_b, round(s, 6) AS similarity FROM similars ORDER BY similarity DESC, slug_a, idx_a, slug_b, idx_b LIMIT 50""",
     "link_suggestions": f"""WITH {EDGES}, sets AS (SELECT slug AS k, {TOKENS.format('content')} AS t FROM wiki), {JOINED.format(0.6, 1)}
 SELECT a, b, round(s, 6) AS score FROM similars WHERE NOT EXISTS (SELECT 1 FROM edges WHERE (src = a AND dst = b) OR (src = b AND dst = a)) ORDER BY score DESC, a, b LIMIT 20""",

@@ -187,7 +187,7 @@ def near_duplicates(spark, sf_dir):
 @query
 def conflicting_claims(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("slug"), F.col("turn").alias("idx"), "text")
-    return similarity.conflicting_claims(rows, 0.6)
+    return similarity.conflicting_claims(rows, 0.3)
 
 
 @query

@@ -100,7 +100,7 @@ def scan(files: DataFrame, threshold: float = 0.5, templates: dict[str, str] | N
     templates = TEMPLATES if templates is None else templates
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.filter(F.split(text, r"[\n\r]+"), lambda x: x.rlike(TRIGGERS))
-    rows = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), F.when(text.rlike(TRIGGERS), F.array_distinct(F.transform(lines, lambda x: F.substring(F.trim(x), 1, 4096)))).alias("lines"))
+    rows = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), F.when(text.rlike(TRIGGERS), F.array_distinct(F.transform(lines, lambda x: F.trim(x)))).alias("lines"))
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "licence-rows")
     found = rows.select("row", "path", F.posexplode("lines").alias("pos", "line"))
     matched = match_lines(found, templates, threshold)

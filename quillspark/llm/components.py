@@ -17,7 +17,8 @@ def components(edges: DataFrame, a: str, b: str, limit: int = 100) -> DataFrame:
 
     Each step is a minimum per node, which aggregates before its shuffle, and a join back,
     so a hub with very many edges needs no task that holds them all.  Each round is
-    written to the shared folder.
+    written to the shared folder.  Rounds grow with the logarithm of the longest path; more
+    than ``limit`` raise an error.
     """
     x, y = F.col(a), F.col(b)
     edges = edges.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
@@ -37,5 +38,7 @@ def components(edges: DataFrame, a: str, b: str, limit: int = 100) -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components are not settled after {limit} rounds")
     stars = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -16,8 +16,8 @@ def components(edges: DataFrame, a: str, b: str, limit: int = 100) -> DataFrame:
     """``node`` and ``component`` (the smallest node) for every node that has an edge.
 
     Each step is a minimum per node, which aggregates before its shuffle, and a join back,
-    so a hub with very many edges needs no task that holds them all.  Each round is
-    written to the shared folder.  Rounds grow with the logarithm of the longest path; more
+    so a hub with very many edges needs no task that holds them all: the join's skewed
+    partitions are split.  Each round is written to the shared folder.  Rounds grow with the logarithm of the longest path; more
     than ``limit`` raise an error.
     """
     x, y = F.col(a), F.col(b)
@@ -29,6 +29,7 @@ def components(edges: DataFrame, a: str, b: str, limit: int = 100) -> DataFrame:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m")).select("n", F.least("n", "m").alias("m"))
+        least = written(least, "cc-least")  # read back, the join has two plain shuffles, and adaptive execution can split a hub's edges
         large = both.where("v > u").join(least, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
         joined = large.join(small, F.col("u") == F.col("n"))

@@ -1,7 +1,8 @@
 """Token ids in a bit-plane-shuffled, compressed file format.
 
-Texts are encoded with a tokenizer of the tokenizers library, an end id is appended to
-each document, and the ids are written in ascending document order.  The format: ids are
+Texts are encoded with a tokenizer of the tokenizers library (texts are cut at the file's
+added tokens first, as its encode does), an end id is appended to each document, and the
+ids are written in ascending document order.  The format: ids are
 cut into blocks of ``BLOCK_IDS``; a block's little-endian ids are transposed into planes
 (byte planes, or single-bit planes with ``bits=True``), each plane is compressed by
 zstandard, and planes that hold only zeros are stored as empty.
@@ -19,6 +20,7 @@ an empty table gives empty files and an empty result.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -65,8 +67,15 @@ class TokenizerIds:
     """Whole texts to ids by a byte-level tokenizer file of the tokenizers library."""
 
     def __init__(self, file: str) -> None:
-        self.model = Tokenizer.from_str(file).model
-        vocabulary = Tokenizer.from_str(file).get_vocab()
+        whole = Tokenizer.from_str(file)
+        self.model = whole.model
+        vocabulary = whole.get_vocab()
+        added = {t.content: (i, t) for i, t in whole.get_added_tokens_decoder().items()}
+        if any(t.single_word or t.lstrip or t.rstrip for _, t in added.values()) or whole.normalizer is not None:
+            raise ValueError("only plain added tokens and files without a normaliser can be cut out of texts")
+        self.added = {content: i for content, (i, _) in added.items()}
+        #: The longest added token at the leftmost place, as the library matches them.
+        self.cut = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.sizes[i] = len(token)  # one mapped character a byte
@@ -76,6 +85,28 @@ class TokenizerIds:
         self.part_id = vocabulary[byte_chars()[self.part]]
         self.ids = TokenIds(self.encode_tokens)
 
+    def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after another, and how many each has."""
+        if self.cut is None or not any(map(self.cut.search, texts)):
+            return self.ids.block(texts)
+        parts: list[str] = []
+        ends: list[int] = []  # parts up to the end of each text
+        tokens: list[tuple[int, int]] = []  # an added token's id, and the parts before it
+        for t in texts:
+            at = 0
+            for m in self.cut.finditer(t):
+                parts.append(t[at : m.start()])
+                tokens.append((self.added[m[0]], len(parts)))
+                at = m.end()
+            parts.append(t[at:])
+            ends.append(len(parts))
+        ids, counts = self.ids.block(parts)
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        after = np.array([n for _, n in tokens], np.int64)
+        ids = np.insert(ids, upto[after], np.array([i for i, _ in tokens], np.uint32))
+        last = np.array(ends, np.int64)
+        return ids, np.diff(upto[last] + np.searchsorted(after, last, "right"), prepend=0)
+
     def encode_tokens(self, tokens: list[bytes]) -> list[bytes]:
         """Single pre-tokens by the library's model, some at a time, with a byte between them that never merges."""
         out: list[bytes] = []
@@ -114,7 +145,7 @@ def _shards(docs: DataFrame, file: str, end_id: int, bits: bool) -> DataFrame:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             names = batch.column(0).to_pylist()
             for begin, end in blocks(texts):
-                ids, counts = own.ids.block(texts[begin:end])
+                ids, counts = own.block(texts[begin:end])
                 ends = np.cumsum(counts)
                 ids = np.insert(ids, ends, end_id)
                 ends = (ends + np.arange(1, len(ends) + 1)).tolist()

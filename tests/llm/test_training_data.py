@@ -86,6 +86,17 @@ def test_planes(spark, bits, monkeypatch):
     assert (planes.from_planes(planes.to_planes(ids, bits), len(ids), bits) == ids).all()
 
 
+def test_added_tokens():
+    from tokenizers import Tokenizer
+
+    file = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text()
+    end = "<|endoftext|>"
+    texts = ["plain", f"a {end} b", end, "", end * 2, f"it's{end}  {end}\n\nx ", f"{end[:-1]} {end}"]
+    want = [Tokenizer.from_str(file).encode(t, add_special_tokens=False).ids for t in texts]
+    ids, counts = planes.TokenizerIds(file).block(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want and want[1] == [64, 220, 50256, 275]
+
+
 @pytest.mark.parametrize("words", [urlfilter.LITERAL_WORDS, 0])
 def test_cascade(spark, words, monkeypatch):
     monkeypatch.setattr(urlfilter, "SHARD_WORDS", 2)

@@ -66,7 +66,7 @@ def token_starts(cp: np.ndarray) -> np.ndarray:
     start[last] = True
     start[last[cp[last] == 32] + 1] = False
     quote = np.flatnonzero((cp == 39) & start)
-    quote = quote[quote + 3 < len(cp)]
+    quote = quote[quote + 2 < len(cp)]  # a long form's end is in bounds too: its second letter isn't the end mark
     if len(quote):
         a, b = cp[quote + 1], cp[quote + 2]
         short = np.isin(a, list(map(ord, "stmd")))

@@ -62,6 +62,14 @@ def test_pretokens():
         pretokens.TokenIds(list, "other")
 
 
+def test_contractions_at_the_end():
+    encode, codec = ids_by_tiktoken(), bpe.Codec(VOCABULARY, public_tokenizers.PATTERN)
+    for text in ["'", "it'", "''", *(f"{a}'{b}" for a in ("it", "") for b in ("s", "t", "m", "d", "re", "ve", "ll", "r", "l", "x", "sx"))]:
+        for texts in ([text], ["a b", text]):
+            ids, counts = codec.encode(texts)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [encode(t) for t in texts]
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_planes(spark, bits, monkeypatch):
     from tokenizers import Tokenizer

@@ -7,9 +7,10 @@ line and template, and a line stands for the template of highest cosine at or ab
 directory that holds a licence file with a match: paths explode into their ancestor
 directories, which join the licence directories by path, and the deepest wins.
 
-Lines are scanned where they may be licence lines (a word of ``TRIGGERS`` occurs); equal
-lines are scored once, and document frequencies are counted over the templates, so the
-corpus is shuffled by line only.
+Every line, and every two and three neighbouring lines as one (sentences run over line ends),
+is judged; those whose cosine can't reach the threshold by an exact bound are left out where a
+file is read.  Equal lines are scored once, and document frequencies are counted over the
+templates, so the corpus is shuffled by line only.
 
 Defined cases: null or empty texts have no header; null paths have no ancestors; a tie
 between templates goes to the first by name; repeated rows keep one result row each, extra
@@ -19,6 +20,7 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,14 +48,23 @@ TEMPLATES = {
     "Proprietary": "All rights reserved.",
     "Proprietary#long": "No part of this work may be reproduced without permission. Copyright, all rights reserved.",
 }
-TRIGGERS = r"(?i)licen[sc]e|copyright|all rights reserved|creative commons|public domain|permission is hereby|cc0|cc by|spdx|redistribution"
+#: Frequent words, most frequent first; a line of these alone is left out where that provably can't reach the threshold.
+COMMON = "the of and to in a is for that on with as by this be or are from at it an not no all any 1 2 3 0 4 under part work version free form person public use".split()
+#: Neighbouring lines that are also read as one, for sentences that run over line ends.
+WINDOW = 3
+PARTING = r"[^\p{L}\p{N}]+"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often a lambda uses it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def terms(text: Column) -> Column:
     """Lower-case words and numbers of a line, neighbouring pairs included."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - 1)), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
-    return F.concat(words, F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>")))
+    pairs = lambda words: F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
+    none = F.array().cast("array<string>")
+    return _let(F.filter(F.split(F.lower(text), PARTING), lambda w: w != ""), lambda words: F.concat(words, F.when(F.size(words) > 1, pairs(words)).otherwise(none)))
 
 
 def _vectors(rows: DataFrame, key: str) -> DataFrame:
@@ -92,6 +103,58 @@ def match_lines(lines: DataFrame, templates: dict[str, str], threshold: float) -
     return best.select("line", F.substring_index("best.licence", "#", 1).alias("licence"), cosine.alias("cosine")).where(F.col("cosine") >= threshold)
 
 
+def candidates(text: Column, spark: SparkSession, templates: dict[str, str], threshold: float) -> Column:
+    """The different lines, and windows of up to ``WINDOW`` lines, that can reach the threshold; none that does is left out.
+
+    Two bounds, both exact. Frequent words are chosen so that in no template the terms made of
+    them alone weigh ``threshold`` or more: without any other template word the cosine stays below.
+    For the rest, products with each template are whole, and each unknown term counts once in the norm.
+    """
+    vectors, unknown = template_vectors(spark, templates)
+    found = vectors.collect()
+    if not found:
+        return F.array().cast("array<string>")
+    names = sorted({r.licence for r in found})
+    squares = dict.fromkeys(names, 0.0)
+    common: set[str] = set()
+    for word in COMMON:
+        more = common | {word}
+        sums = squares | {n: sum(r.w * r.w for r in found if r.licence == n and more.issuperset(r.term.split())) for n in names}
+        if max(sums.values()) < (threshold - 1e-5) * abs(threshold - 1e-5):
+            common = more
+    rare = F.array(*[F.lit(w) for w in sorted({w for r in found for w in r.term.split()} - common)])
+    idf = {r.term: r.idf for r in found}
+    products = {t: [0.0] * len(names) for t in idf}
+    for r in found:
+        products[r.term][names.index(r.licence)] = r.w * r.idf
+    known = sorted(idf)
+    weights = F.map_from_arrays(F.array(*map(F.lit, known)), F.array(*[F.struct(F.lit(idf[t]).alias("idf"), F.array(*map(F.lit, products[t])).alias("p")) for t in known]))
+
+    def reaches(line: Column) -> Column:
+        def bound(every: Column, own: Column) -> Column:
+            counted = F.transform(F.array_distinct(own), lambda t: F.struct(F.size(F.filter(own, lambda x: x == t)).cast("double").alias("tf"), F.element_at(weights, t).alias("x")))
+            return _let(counted, lambda c: passes(every, c))
+
+        def passes(every: Column, c: Column) -> Column:
+            dots = F.aggregate(c, F.array_repeat(F.lit(0.0), len(names)), lambda sums, y: F.zip_with(sums, y.x.p, lambda s, w: s + w * y.tf))
+            square = F.aggregate(c, F.lit(0.0), lambda s, y: s + F.pow(y.tf * y.x.idf, F.lit(2.0)))
+            others = F.size(F.array_distinct(every)) - F.size(c)
+            return F.array_max(dots) >= (threshold - 1e-5) * F.sqrt(square + others * (unknown * unknown))
+
+        return _let(terms(line), lambda every: _let(F.filter(every, lambda t: t.isin(known)), lambda own: F.coalesce(bound(every, own), F.lit(False))))
+
+    lines = F.filter(F.transform(F.split(text, r"[\n\r]+"), lambda x: F.trim(x)), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+    marked = F.transform(lines, lambda x: F.struct(x.alias("line"), F.arrays_overlap(F.split(F.lower(x), PARTING), rare).alias("hot")))
+
+    def windows(m: Column) -> Column:
+        sizes = lambda i: F.sequence(F.lit(1), F.least(F.lit(WINDOW), F.size(m) - i + 1))
+        from_line = lambda i: F.filter(F.transform(sizes(i), lambda k: F.slice(m, i, k)), lambda w: F.exists(w, lambda x: x.hot))
+        joined = F.transform(F.flatten(F.transform(F.sequence(F.lit(1), F.size(m)), from_line)), lambda w: F.array_join(w.line, " "))
+        return F.when(F.exists(m, lambda x: x.hot), F.array_distinct(F.filter(joined, reaches)))
+
+    return _let(marked, windows)
+
+
 def scan(files: DataFrame, threshold: float = 0.5, templates: dict[str, str] | None = None, licence_names: str = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$") -> DataFrame:
     """doc_id, path, own licence, licence in effect, how it came ('header', 'inherited', null) and the directory it came from.
 
@@ -99,8 +162,8 @@ def scan(files: DataFrame, threshold: float = 0.5, templates: dict[str, str] | N
     """
     templates = TEMPLATES if templates is None else templates
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = F.filter(F.split(text, r"[\n\r]+"), lambda x: x.rlike(TRIGGERS))
-    rows = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), F.when(text.rlike(TRIGGERS), F.array_distinct(F.transform(lines, lambda x: F.trim(x)))).alias("lines"))
+    lines = candidates(text, files.sparkSession, templates, threshold)
+    rows = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), lines.alias("lines"))
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "licence-rows")
     found = rows.select("row", "path", F.posexplode("lines").alias("pos", "line"))
     matched = match_lines(found, templates, threshold)

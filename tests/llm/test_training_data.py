@@ -329,6 +329,33 @@ def test_licences(spark):
     assert licences.scan(df.limit(0)).count() == 0
 
 
+def test_licence_lines_without_fixed_words(spark):
+    rows = [
+        (1, "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy of the MPL was not distributed with this\n# file, you can obtain one."),
+        (2, "No part of this work may be reproduced without permission."),
+        (3, "code\n// Redistribution and use in source\n//\n// and binary forms, with or without\n// modification, are permitted.\nmore code"),
+        (4, "The work of the person is free and under the form of a public part."),
+        (5, "zebra " * 300 + "no part of this work may be reproduced"),
+    ]
+    df = spark.createDataFrame([(i, f"d{i}/x", t) for i, t in rows], "doc_id bigint, path string, text string")
+    assert {r.doc_id: r.licence for r in licences.scan(df).collect()} == {1: "MPL-2.0", 2: "Proprietary", 3: "BSD-3-Clause", 4: None, 5: None}
+    assert [r.licence for r in licences.scan(df, templates={"Own": "zebra zebra"}).collect() if r.doc_id == 5] == ["Own"]
+    assert licences.scan(df, templates={}).where("licence is not null").count() == 0
+
+
+def test_licence_bound_leaves_nothing_out(spark):
+    rng = np.random.default_rng(9)
+    pool = " ".join(licences.TEMPLATES.values()).split() + "the of and to is a zebra stone".split() * 8
+    rows = [" ".join(rng.choice(pool, rng.integers(1, 9))) for _ in range(250)]
+    rows += [" ".join(rng.permutation(t.split())[: rng.integers(1, 12)]) for t in licences.TEMPLATES.values() for _ in range(8)]
+    rows = [" ".join([*t.split()[: rng.integers(2, 20)], *rng.choice(pool, rng.integers(0, 4))]) for t in licences.TEMPLATES.values() for _ in range(8)] + rows
+    lines = spark.createDataFrame([(t,) for t in rows], "line string").distinct()
+    for threshold in (0.3, 0.5, 0.8):
+        want = {r.line for r in licences.match_lines(lines, licences.TEMPLATES, threshold).collect()}
+        kept = lines.select(F.explode(licences.candidates(F.col("line"), spark, licences.TEMPLATES, threshold)).alias("line"))
+        assert want and want <= {r.line for r in kept.collect()}
+
+
 @pytest.mark.parametrize("name", ["op3_url_filter", "op5_pivot_topk"])
 def test_oracles(spark, data, name):
     df = queries()[name](spark, data)

@@ -3,7 +3,8 @@
 Learning (on a bounded sample of labelled rows): words, and stems that open several words,
 that occur far more often in toxic documents make the lexicon.  Matching: a token is walked
 through the intersection of the lexicon's trie with the terms' Levenshtein automata, so a
-term counts at edit distance 1 (5 letters or more) or 2 (10 letters or more); stems must match exactly.  Context: an
+term counts at edit distance 1 (5 letters or more) or 2 (10 letters or more); a word opens
+with a stem only exactly, but words under stems, and stems as words, count misspelt as well.  Context: an
 occurrence between quotation marks or near a word of reporting counts as quotation, one near
 a word of address as abuse.  A logistic model over these sums gives the score.
 
@@ -31,9 +32,9 @@ from .labelled import SAMPLE, held_out, training_rows
 
 TOKEN = re.compile(r"[\w@$]+")
 LEET = str.maketrans("01345@$7", "oieasast")
-#: A term needs so many toxic documents, such a share of them, and so large a log ratio at the lower end of its 95 % interval.
+#: A term needs so many toxic documents, and so large a log ratio at the lower end of its 95 % interval
 #: (and so large a part of the best term's; less for stems, which stand for many words).
-MIN_DOCS, MIN_SHARE, MIN_RATIO, MIN_PART, STEM_PART, MAX_TERMS = 4, 0.01, 1.5, 0.5, 0.3, 4_000
+MIN_DOCS, MIN_RATIO, MIN_PART, STEM_PART, MAX_TERMS = 4, 1.5, 0.5, 0.3, 4_000
 STEMS = (4, 5, 6, 7, 8)
 WINDOW = 6
 # Fixed word lists: verbs of reporting, and words of address.
@@ -139,7 +140,8 @@ class Lexicon:
 
     def __init__(self, words: dict[str, float], stems: dict[str, float]) -> None:
         self.words, self.stems = words, stems
-        self.automaton = TrieAutomaton(sorted(words))
+        self.weights = stems | words
+        self.automaton = TrieAutomaton(sorted(self.weights))
         self.stem_sizes = sorted({len(x) for x in stems})
         self.seen: dict[str, tuple[str, float] | None] = {}
 
@@ -157,7 +159,7 @@ class Lexicon:
             if token[:n] in self.stems:
                 return token[:n], self.stems[token[:n]]
         found = self.automaton.find(token)
-        return (found[1], self.words[found[1]] * 0.7 ** found[0]) if found else None
+        return (found[1], self.weights[found[1]] * 0.7 ** found[0]) if found else None
 
     def features(self, text: str) -> list[float]:
         """Sums over the matched occurrences: abuse, quotation, address, different terms, and their density."""
@@ -235,13 +237,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     p, n = F.col("pos") + 0.5, F.col("neg") + 0.5
     ratio = F.log(p / (pos + 1)) - F.log(n / (neg + 1)) - 1.96 * F.sqrt(1 / p + 1 / n)
     schema = "term string, pos bigint, neg bigint"
-    enough = max(MIN_DOCS, math.ceil(MIN_SHARE * pos))
-    # terms of toxic rows first, so that the counts over all rows stay small
-    likely = _counts(rows.where("label = 1"), _terms, schema).where(F.col("pos") >= enough)
+    # terms of toxic rows first, so that the counts over all rows stay small: those that reach the ratio if no clean row has them
+    best = F.log(p / (pos + 1)) - math.log(0.5 / (neg + 1)) - 1.96 * F.sqrt(1 / p + 2)
+    likely = _counts(rows.where("label = 1"), _terms, schema).where((F.col("pos") >= MIN_DOCS) & (best >= MIN_RATIO))
     seen = {r.term: r.pos for r in likely.orderBy(F.desc("pos"), "term").limit(50 * MAX_TERMS).select("term", "pos").collect()}
     wanted = frozenset(seen)
     counted = _counts(rows, lambda text: _terms(text) & wanted, schema)
-    strong = counted.withColumn("ratio", ratio).where((F.col("ratio") >= MIN_RATIO) & (F.col("pos") >= enough)).orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).collect()
+    strong = counted.withColumn("ratio", ratio).where((F.col("ratio") >= MIN_RATIO) & (F.col("pos") >= MIN_DOCS)).orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).collect()
     weight = {r.term: r.ratio / 2 for r in strong if r.ratio >= (STEM_PART if r.term.endswith("*") else MIN_PART) * strong[0].ratio}
     words = [t for t in weight if not t.endswith("*")]
     most: Counter = Counter()  # documents of the most frequent word under a stem
@@ -253,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     for t in sorted((t[:-1] for t in weight if t.endswith("*")), key=lambda t: (len(t), t)):
         if seen[f"{t}*"] > 1.5 * most[t] and not any(t[:k] in stems for k in STEMS):
             stems[t] = weight[f"{t}*"]
-    model = Model({w: weight[w] for w in words if not any(w[:n] in stems for n in STEMS)}, stems)
+    model = Model({w: weight[w] for w in words}, stems)
     kept = rows.select("text", F.col("label").cast("double").alias("label"))
     table = np.array([[r.label, *r.f] for r in kept.mapInArrow(_featured(model, 1), "label double, f array<double>").collect()])
     model.weights = _logistic(table[:, 1:], table[:, 0])

@@ -261,6 +261,23 @@ def test_toxicity(spark):
     assert kept.columns == docs.columns and 200 < kept.count() < 300
 
 
+def test_rare_terms_and_misspelt_stems(spark):
+    rng = np.random.default_rng(11)
+    insults = ["".join(rng.choice(list("bcdfgklmnprst"), 7)) for _ in range(30)]
+    rows = [(i, "some plain words " + ("" if i % 8 else insults[i // 8 % 30]) + (" zzinsult" if i % 1040 == 0 else ""), int(i % 8 == 0)) for i in range(15_000)]
+    docs = docs_of(spark, [r[:2] for r in rows])
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    train = [i for i, _, y in rows if y and zlib.crc32(str(i).encode()) % 5]
+    assert 8 <= sum(i % 1040 == 0 for i in train) < 0.01 * len(train)
+    model = toxicity.fit(docs, labels)
+    assert "zzinsult" in model.words and set(insults) <= {*model.words} and not {"some", "plain", "words"} & {*model.words}
+    lexicon = toxicity.Lexicon({"scumbag": 2.0}, {"scum": 1.0, "vequeu": 3.0})
+    assert [lexicon.match(t) for t in ("scumbags", "sckmbag", "vequeu", "vaqueu")] == [("scum", 1.0), ("scumbag", 1.4), ("vequeu", 3.0), ("vequeu", 0.7 * 3.0)]
+    docs, labels = labelled(spark, lambda rng, y: " ".join(["alpha", "beta", *(rng.choice(["scumbag", "scumlord", "scumfest"], 1) if y else [])]))
+    model = toxicity.fit(docs, labels)
+    assert model.stems and "scumlord" in model.words
+
+
 def test_quality(spark):
     make = lambda rng, y: ". ".join(" ".join(rng.choice(["alpha", "beta", "gamma", "delta"], 5)) for _ in range(5)) if y else "%%% ".join(["JUNK!!"] * int(rng.integers(3, 40)))
     docs, labels = labelled(spark, make)

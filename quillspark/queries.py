@@ -92,7 +92,7 @@ def query_fallback(spark, sf_dir):
 
 @query
 def term_stats(spark, sf_dir):
-    return lexical.term_stats(index_documents(spark, sf_dir)).where("df > 1")
+    return lexical.term_stats(index_documents(spark, sf_dir))
 
 
 @query
@@ -186,8 +186,8 @@ def near_duplicates(spark, sf_dir):
 
 @query
 def conflicting_claims(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("slug"), F.col("turn").alias("idx"), "text")
-    return similarity.conflicting_claims(rows, 0.3)
+    rows = table(spark, sf_dir, "conversations").select(F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("slug"), F.col("turn").alias("idx"), "text")
+    return similarity.conflicting_claims(rows)
 
 
 @query
@@ -395,14 +395,15 @@ def claims_without_source(spark, sf_dir):
 
 @query
 def claim_verified(spark, sf_dir):
-    """Every page's first claim checked on a date: the date stands there afterwards."""
+    """Every page's first claim checked on a date: the date stands there afterwards; a page without claims has none."""
 
     @F.pandas_udf("string")
     def verify(content):
-        return content.map(lambda x: claims.set_last_verified(x, 0, "2025-05-05"))
+        return content.map(lambda x: claims.set_last_verified(x, 0, "2025-05-05") if claims.parse(x) else None)
 
-    pages = wiki(spark, sf_dir).where("doc_id % 8 <> 1").select("slug", verify("content").alias("content"))
-    return metadata.claim_rows(pages).where("idx = 1").select("slug", "last_verified")
+    pages = wiki(spark, sf_dir).select("slug", verify("content").alias("content"))
+    bare = pages.where("content is null").select("slug", F.lit(None).cast("string").alias("last_verified"))
+    return metadata.claim_rows(pages).where("idx = 1").select("slug", "last_verified").unionByName(bare)
 
 
 @query

@@ -29,6 +29,17 @@ def test_against_oracle(spark, data, name):
     assert sorted(tuple(show(r[c]) for c in columns) for r in df.collect()) == sorted(tuple(show(r[i]) for i in at) for r in found.fetchall())
 
 
+def test_whole_tables(spark, data):
+    turns = spark.read.parquet(f"{data}/conversations.parquet").select(F.concat(F.lit("conv-"), "conv_id").alias("s"), "turn", similarity.similarity_tokens(F.col("text")).alias("t")).collect()
+    sets = sorted((r.s, r.turn, frozenset(r.t)) for r in turns)
+    pairs = [(-round(len(x & y) / len(x | y), 6), a, i, b, j) for n, (a, i, x) in enumerate(sets) for b, j, y in sets[n + 1 :] if x & y and len(x & y) / len(x | y) >= 0.25]
+    assert [(-r.similarity, r.slug_a, r.idx_a, r.slug_b, r.idx_b) for r in QUERIES["conflicting_claims"](spark, data).collect()] == sorted(pairs)[:50]
+    docs = spark.read.parquet(f"{data}/documents.parquet").collect()
+    got = {r.slug: r.last_verified for r in QUERIES["claim_verified"](spark, data).collect()}
+    assert len(got) == len(docs) and all(got[f"doc-{r.doc_id}"] == (None if r.doc_id % 8 == 1 else "2025-05-05") for r in docs if f"doc-{r.doc_id}" in got)
+    assert QUERIES["term_stats"](spark, data).where("df = 1").count() > 0
+
+
 def test_every_query_has_an_oracle():
     assert set(QUERIES) - set(ORACLES) == {"ingest_sources"}
 

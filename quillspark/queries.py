@@ -194,8 +194,7 @@ def conflicting_claims(spark, sf_dir):
 def link_suggestions(spark, sf_dir):
     pages = metadata.with_fields(wiki(spark, sf_dir).select("slug", F.concat(F.col("content"), F.lit("")).alias("content")))
     edge = graph.edges(pages)
-    own = pages.withColumn("project", F.lit(None).cast("string")).withColumn("tags", F.array().cast("array<string>"))
-    return similarity.link_suggestions(own, edge, 0.6, 20).select("a", "b", "score")
+    return similarity.link_suggestions(pages, edge, limit=20).select("a", "b", "score")
 
 
 # --- links and graph ------------------------------------------------------------------------

@@ -40,6 +40,22 @@ def test_whole_tables(spark, data):
     assert QUERIES["term_stats"](spark, data).where("df = 1").count() > 0
 
 
+def test_link_suggestions_with_boosts(spark, data):
+    from quillspark.sources.tables import wiki as made
+
+    pages = metadata.with_fields(made(spark, data).select("slug", "content"))
+    linked = {frozenset((r.src, r.dst)) for r in graph.edges(pages).collect()}
+    rows = sorted((r.slug, (r.project or "").lower(), set(r.tags), set(r.t)) for r in pages.select("slug", "project", "tags", similarity.similarity_tokens(F.col("content")).alias("t")).collect())
+    want = []
+    for n, (a, p, x, s) in enumerate(rows):
+        for b, q, y, t in rows[n + 1 :]:
+            score = (len(s & t) / len(s | t) if s | t else 0) + 0.15 * (p == q != "") + min(0.05 * len(x & y), 0.2)
+            if frozenset((a, b)) not in linked and "index" not in (a, b) and score >= 0.15:
+                want.append((-round(score, 6), a, b))
+    got = [(-r.score, r.a, r.b) for r in QUERIES["link_suggestions"](spark, data).collect()]
+    assert got == sorted(want)[:20] and len({a for _, a, _ in got}) > 1
+
+
 def test_every_query_has_an_oracle():
     assert set(QUERIES) - set(ORACLES) == {"ingest_sources"}
 

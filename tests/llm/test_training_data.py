@@ -76,9 +76,10 @@ def test_planes(spark, bits, monkeypatch):
 
     file = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text()
     tokenizer = Tokenizer.from_str(file)
-    tokenizer.encode_special_tokens = True
     monkeypatch.setattr(planes, "BLOCK_IDS", 1 << 16)
     rows = [(i, t) for i, t in ODD] + [(100 + i, "word " * (i * 997 % 5000)) for i in range(40)]
+    end = "<|endoftext|>"
+    rows += [(200, end), (201, f"{end}begin"), (202, f"middle {end} of it"), (203, f"it's{end}"), (204, f"a {end}{end} b"), (205, end[:-1])]
     path = planes.write_ids(docs_of(spark, rows), file, bits=bits)
     got = planes.read_documents(spark, path, bits=bits).collect()
     start, want = 0, []
@@ -143,9 +144,38 @@ def test_top_k(spark, monkeypatch):
     key = lambda r: tuple(map(str, r))
     got = pivots.top_k(df, every=10, k=5)
     assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    got = pivots.top_k(df, every=10, k=5, pivots=3)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
     assert pivots.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_eliminates(spark, monkeypatch):
+    """Vectors near a few directions: most cells and rows are ruled out; figures say how many were evaluated."""
+    monkeypatch.setattr(pivots, "GROUP_ROWS", 50)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(20, 16)) * 4
+    rows = [(i, (centres[i % 20] + rng.normal(size=16) * 0.05).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    x = np.floor(256 * np.array([v for _, v in rows]))
+    want = {i: sorted(range(len(x)), key=lambda j: (-(x[i] @ x[j]), j)) for i in range(0, 3000, 50)}
+    got = pivots.top_k(df, every=50, k=5, figures=True).collect()
+    assert all(r.vec_id == [j for j in want[r.query_id] if j != r.query_id][r.rank - 1] for r in got) and len(got) == 300
+    assert max(r.evaluated for r in got) < 0.2 * got[0].candidates == 600
+
+
+def test_top_k_of_huge_numbers(spark):
+    rows = [(i, [float(3 * i + 1) * 2.0**60, 1e30 * (i % 3 - 1)]) for i in range(40)] + [(100, [1e307, 1.0]), (101, [-1.0, 2.0**31])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    whole = [(i, [int(256 * c) for c in v]) for i, v in rows if abs(v[0]) < 1e300]
+    want = []
+    for i, q in whole:
+        if i % 10 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in whole if j != i)[:5]
+            want += [(i, r, j, max(-(2**63), min(2**63 - 1, -s))) for r, (s, j) in enumerate(best, 1)]
+    ids = lambda found: sorted((r[0], r[3]) for r in found)
+    assert ids(map(tuple, pivots.top_k(df, every=10, k=5).collect())) == ids(want)
+
+
 def shingles(text, k):
     words = (text or "").encode().lower().split()
     return frozenset([tuple(words)]) if 0 < len(words) < k else frozenset(tuple(words[i : i + k]) for i in range(len(words) - k + 1))

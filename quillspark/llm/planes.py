@@ -7,11 +7,11 @@ cut into blocks of ``BLOCK_IDS``; a block's little-endian ids are transposed int
 (byte planes, or single-bit planes with ``bits=True``), each plane is compressed by
 zstandard, and planes that hold only zeros are stored as empty.
 
-Storage is a folder of two Parquet tables that Spark's committers write:
-``chunks`` (shard, chunk, n_ids, planes) and ``docs`` (shard, seq, doc_id, start, n_tokens,
-first chunk and offset).  ``chunk_index`` gives for each chunk the global place of its first
-id and its stored sizes.  A shard is a range of the document order; a chunk never mixes
-shards, so every shard can be written, retried and read on its own.
+Storage is a folder of two Parquet tables that Spark's committers write: ``chunks`` (shard,
+chunk, n_ids, planes, and the places of the documents inside) and, made from them, the index
+``chunk_index`` (shard, chunk, the global place of its first id, n_ids, sizes of the planes),
+by which documents get their places when they are read.  A shard is a range of the document
+order; a chunk never mixes shards, so every shard can be written, retried and read on its own.
 
 Defined cases: a null text counts as empty and becomes the end id alone; null ids sort
 first; rows with equal ids keep one row each (ordered by text); extra columns are ignored;
@@ -40,6 +40,7 @@ from .pretokens import TokenIds, blocks, parted
 
 BLOCK_IDS = 1 << 16
 CHUNKS = "shard int, chunk int, n_ids int, planes array<binary>, docs array<struct<seq: int, doc_id: bigint, first: bigint, n: int, piece: int, whole: boolean>>"
+INDEX = "shard int, chunk int, start bigint, n_ids int, plane_bytes array<int>"
 
 
 def to_planes(ids: np.ndarray, bits: bool = False, level: int = 1) -> list[bytes]:
@@ -169,25 +170,22 @@ def _shards(docs: DataFrame, file: str, end_id: int, bits: bool) -> DataFrame:
 
 
 def write_ids(docs: DataFrame, file: str, end_id: int = 0, bits: bool = False) -> str:
-    """Encode and store; returns the folder."""
+    """Encode and store chunks, then their index; returns the folder."""
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/quillspark/ids-{uuid.uuid4().hex}"
     _shards(docs, file, end_id, bits).write.option("compression", "uncompressed").parquet(f"{path}/chunks")
-    return path
-
-
-def _bases(chunks: DataFrame) -> DataFrame:
-    """For each shard, the ids of all shards before it: a row per shard, so a few thousand rows at any size."""
-    totals = chunks.groupBy("shard").agg(F.sum(F.col("n_ids").cast("long")).alias("total"))
+    chunks = spark.read.schema(CHUNKS).parquet(f"{path}/chunks").select("shard", "chunk", "n_ids", F.transform("planes", lambda p: F.octet_length(p)).alias("plane_bytes"))
+    totals = chunks.groupBy("shard").agg(F.sum(F.col("n_ids").cast("long")).alias("total"))  # a row per shard: a few thousand at any size
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select("shard", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    bases = totals.select("shard", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    start = F.col("base") + F.col("chunk").cast("long") * BLOCK_IDS
+    chunks.join(F.broadcast(bases), "shard").select("shard", "chunk", start.alias("start"), "n_ids", "plane_bytes").write.parquet(f"{path}/chunk_index")
+    return path
 
 
 def chunk_index(spark: SparkSession, path: str) -> DataFrame:
     """shard, chunk, start (global place of its first id), n_ids, plane_bytes."""
-    chunks = spark.read.schema(CHUNKS).parquet(f"{path}/chunks")
-    rows = chunks.select("shard", "chunk", "n_ids", F.transform("planes", lambda p: F.octet_length(p)).alias("plane_bytes"))
-    return rows.join(F.broadcast(_bases(chunks)), "shard").select("shard", "chunk", (F.col("base") + F.col("chunk").cast("long") * BLOCK_IDS).alias("start"), "n_ids", "plane_bytes")
+    return spark.read.schema(INDEX).parquet(f"{path}/chunk_index")
 
 
 def read_documents(spark: SparkSession, path: str, bits: bool = False) -> DataFrame:
@@ -213,5 +211,5 @@ def read_documents(spark: SparkSession, path: str, bits: bool = False) -> DataFr
         F.sort_array(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("piece", "part")))).alias("parts"),
     )
     whole = F.expr("crc32(aggregate(parts, cast('' as binary), (a, p) -> concat(a, p.part)))")
-    based = joined.join(F.broadcast(_bases(chunks)), "shard")
+    based = joined.join(F.broadcast(chunk_index(spark, path).where("chunk = 0").select("shard", F.col("start").alias("base"))), "shard")  # a row per shard
     return based.select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", F.coalesce("crc", whole).alias("ids_crc32"))

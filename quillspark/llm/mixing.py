@@ -2,9 +2,10 @@
 
 1. Every source's words form one stream: documents stand one after another in a fixed
    pseudorandom order, and the stream is cut into blocks of ``block_words`` words.
-2. The mix is a row of slots in output shards of equal size.  Each shard draws how many
-   slots each source gets: the whole part of the expected counts, plus a multinomial draw
-   (alias method) for what the fractions leave.
+2. The mix is a row of slots in output shards of equal size.  Each shard draws its source
+   counts from a multinomial distribution: every slot draws its source (alias method).  Shards
+   are drawn in phases, each of half of the slots left; a phase's probabilities are what the
+   sources still need, so that what chance gave too much or too little is made up for.
 3. The k-th slot of a source takes block ``permutation(k mod blocks)`` of pass
    ``k div blocks``; the permutation is a swap-or-not shuffle of the source's block indexes,
    another one for each pass, so that no block is taken once more before all are taken.
@@ -26,17 +27,19 @@ hashes of fixed seeds: reruns agree.
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucketed_prefix, written
+from .common import bucketed_prefix, taken_rows, text_hash, written
 
 WEIGHTS = (5, 2, 1)
 MAX_SOURCES = 100_000
-SHARD_SLOTS = 4096
+#: Slots of a shard: the 64th part of the mix, within these limits.
+SHARD_SLOTS = (16, 4096)
 ROUNDS = 8
 _SPACE = r"\x20\x09-\x0D"
 
@@ -48,22 +51,16 @@ def word_count(text: Column) -> Column:
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3) -> list[float]:
-    """Words wanted of each source: shares by weight, cut at max_epochs times the size, the excess shared again."""
+    """Words wanted of each source: shares by weight, cut at max_epochs times the size, the excess shared again.
+
+    Sources that are full first come first: those of least size for their weight.
+    """
     share = [weights[i % len(weights)] for i in range(len(sizes))]
-    left, out = Fraction(sum(sizes)), [Fraction(0)] * len(sizes)
-    open_ = [i for i, n in enumerate(sizes) if n > 0]
-    while open_:
-        unit = left / sum(share[i] for i in open_)
-        full = [i for i in open_ if unit * share[i] > max_epochs * sizes[i]]
-        if not full:
-            for i in open_:
-                out[i] = unit * share[i]
-            break
-        for i in full:
-            out[i] = Fraction(max_epochs * sizes[i])
-            left -= out[i]
-        open_ = [i for i in open_ if i not in set(full)]
-    return [float(x) for x in out]
+    left, total, out = Fraction(sum(sizes)), sum(s for s, n in zip(share, sizes, strict=True) if n > 0), [0.0] * len(sizes)
+    for i in sorted((i for i, n in enumerate(sizes) if n > 0), key=lambda i: (Fraction(sizes[i], share[i]), i)):
+        own = min(left * share[i] / total, Fraction(max_epochs * sizes[i]))
+        out[i], left, total = float(own), left - own, total - share[i]
+    return out
 
 
 def alias_table(p: list[float]) -> tuple[list[float], list[int]]:
@@ -90,11 +87,34 @@ def permuted(pos: Column, n: Column, *seed: Column) -> Column:
     return F.aggregate(F.array(*[F.lit(r) for r in range(ROUNDS)]), pos, swap)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, block_words: int = 64, seed: int = 2024) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every document."""
+def drawn(spark: SparkSession, need: list[float], seed: int) -> DataFrame:
+    """sidx, shard and n: each shard's source counts, from one draw a slot."""
+    total, least = round(sum(need)), SHARD_SLOTS
+    size = max(least[0], min(least[1], total // 64))
+    unit = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "id"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    rest, begin = list(need), 0
+    counts = spark.range(0).selectExpr("0 sidx", "id shard", "id n")
+    while begin < total and sum(rest) > 0:
+        left = total - begin
+        slots = left if left <= size else max(1, left // 2 // size) * size
+        keep, other = alias_table([x / sum(rest) for x in rest])
+        table = spark.createDataFrame(list(zip(range(len(keep)), keep, other, strict=True)), "cell int, keep double, other int")
+        cell = F.least(F.floor(unit(1) * len(keep)).cast("int"), F.lit(len(keep) - 1))
+        slot = spark.range(begin, begin + slots, numPartitions=-(-slots // 50_000)).withColumn("cell", cell)
+        picked = F.when(unit(2) < F.col("keep"), F.col("cell")).otherwise(F.col("other"))
+        named = slot.join(F.broadcast(table), "cell").select(picked.alias("sidx"), F.expr(f"id div {size}").alias("shard"))  # at most MAX_SOURCES cells
+        part = written(named.groupBy("sidx", "shard").agg(F.count("*").alias("n")), "mix-draws")
+        for r in part.groupBy("sidx").agg(F.sum("n").alias("n")).collect():  # at most MAX_SOURCES rows
+            rest[r.sidx] = max(0.0, rest[r.sidx] - r.n)
+        counts, begin = counts.unionByName(part), begin + slots
+    return counts
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, block_words: int = 64, seed: int = 2024) -> DataFrame:
+    """doc_id, source, text_hash, size, source_size, target and taken of every document."""
     spark = docs.sparkSession
     text = F.col("text").cast("string")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("_h"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), text_hash(text).alias("text_hash"))
     sized = written(sized, "mix-sizes")
     found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -103,46 +123,46 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3
     sizes = [r["size"] for r in found]
     wanted = targets(sizes, weights, max_epochs)
     blocks = [-(-n // block_words) for n in sizes]
-    n_rows = sum(r.n for r in found)
-
-    # how many slots, and each source's share of them: a source's block holds size / blocks words on average
+    # slots that a source needs: its block holds size / blocks words on average
     need = [w * b / n if n else 0.0 for w, b, n in zip(wanted, blocks, sizes, strict=True)]
-    total = sum(need)
-    shards = max(1, round(total / SHARD_SLOTS))
-    per_shard = [x / shards for x in need]
-    whole = [int(x) for x in per_shard]
-    part = [x - int(x) for x in per_shard]
-    draws = round(sum(part))
-    keep, other = alias_table([x / sum(part) for x in part]) if sum(part) else ([1.0], [0])
-
-    listed = T.StructType([T.StructField("_source", T.StringType()), T.StructField("sidx", T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("_blocks", T.LongType()), T.StructField("_whole", T.LongType())])
-    rows = [(r.source, i, sizes[i], wanted[i], blocks[i], whole[i]) for i, r in enumerate(found)]
-    sources = spark.createDataFrame(rows, listed)
-
-    # draws of all shards, then the slots' ordinals within their source
-    shard_rows = spark.range(shards).withColumnRenamed("id", "shard")
-    fixed = shard_rows.select("shard", F.explode(F.array(*[F.struct(F.lit(i).alias("sidx"), F.lit(w).cast("long").alias("n")) for i, w in enumerate(whole)] or [F.lit(None).cast("struct<sidx:int,n:bigint>")])).alias("x")).select("shard", "x.*")
-    unit = lambda *salt: (F.pmod(F.xxhash64(F.lit(seed), *salt), F.lit(1 << 52)) / F.lit(float(1 << 52)))
-    cell = F.floor(unit(F.lit(1), "shard", "j") * len(keep)).cast("int")
-    drawn = shard_rows.select("shard", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("j")) if draws else shard_rows.select("shard", F.lit(0).alias("j")).where("false")
-    keeps, others = F.array(*map(F.lit, keep)), F.array(*map(F.lit, other))
-    picked = F.when(unit(F.lit(2), "shard", "j") < F.get(keeps, F.col("cell")), F.col("cell")).otherwise(F.get(others, F.col("cell")))
-    drawn = drawn.withColumn("cell", cell).select("shard", picked.alias("sidx"), F.lit(1).cast("long").alias("n"))
-    counts = fixed.unionByName(drawn).groupBy("sidx", "shard").agg(F.sum("n").alias("n")).where("n > 0")
-    counts = bucketed_prefix(counts, ["sidx"], ["shard"], "n", "first", 1024, shards)
-    small = F.broadcast(sources.select(F.col("sidx").alias("_s"), "_blocks"))  # at most MAX_SOURCES rows
-    slots = counts.join(small, F.col("sidx") == F.col("_s")).select("sidx", "_blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k"))
+    root = lambda n: max(1, round(math.sqrt(n)))
+    listed = T.StructType([T.StructField("_source", T.StringType()), T.StructField("sidx", T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("_blocks", T.LongType()), T.StructField("_buckets", T.LongType())])
+    rows = [(r.source, i, sizes[i], wanted[i], blocks[i], root(r.n)) for i, r in enumerate(found)]
+    sources = F.broadcast(spark.createDataFrame(rows, listed))  # at most MAX_SOURCES rows
+
+    # ordinals of the slots within their source; slots are dealt evenly before each becomes a row
+    counts = drawn(spark, need, seed)
+    shards = counts.agg(F.coalesce(F.max("shard"), F.lit(0))).first()[0] + 1
+    counts = bucketed_prefix(counts, ["sidx"], ["shard"], "n", "first", F.lit(root(shards)))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-round(sum(need)) // 250_000))
+    dealt = counts.join(sources.select(F.col("sidx").alias("_s"), "_blocks"), F.col("sidx") == F.col("_s")).repartition(tasks, "sidx", "shard")
+    slots = dealt.select("sidx", "_blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k"))
     slots = slots.where(F.col("k") < max_epochs * F.col("_blocks"))
     epoch, pos = F.expr("k div _blocks"), F.expr("k % _blocks")
     taken = slots.select("sidx", permuted(pos, F.col("_blocks"), F.lit(seed), F.col("sidx"), epoch).alias("block")).groupBy("sidx", "block").agg(F.count("*").alias("times"))
 
     # documents to blocks
-    named = sized.join(F.broadcast(sources.drop("_whole", "_blocks")), F.col("source").eqNullSafe(F.col("_source"))).drop("source", "_source")
-    placed = bucketed_prefix(named, ["sidx"], ["doc_id", "_h", "size"], "size", "start", 4096, n_rows)
+    named = sized.join(sources.drop("_blocks"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    placed = bucketed_prefix(named, ["sidx"], ["doc_id", "text_hash", "size"], "size", "start", F.col("_buckets"))
     span = F.sequence(F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}"))
-    key = ["sidx", "_bucket", "_seq", "doc_id", "size", "source_size", "target"]
-    pieces = placed.where("size > 0").select(*key, "start", F.explode(span).alias("block"))
+    shown = ["doc_id", "source", "text_hash", "size", "source_size", "target"]
+    pieces = placed.where("size > 0").select(*shown, "sidx", "_bucket", "_seq", "start", F.explode(span).alias("block"))
     overlap = F.least((F.col("block") + 1) * block_words, F.col("start") + F.col("size")) - F.greatest(F.col("block") * block_words, F.col("start"))
-    joined = pieces.join(taken, ["sidx", "block"], "left").groupBy(*key).agg(F.sum(overlap * F.coalesce("times", F.lit(0))).alias("taken"))
-    out = ["doc_id", "size", "source_size", "target", "taken"]
-    return joined.select(*out).unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*out))
+    joined = pieces.join(taken, ["sidx", "block"], "left").groupBy("sidx", "_bucket", "_seq", *shown).agg(F.sum(overlap * F.coalesce("times", F.lit(0))).alias("taken"))
+    return joined.select(*shown, "taken").unionByName(placed.where("size = 0").select(*shown, F.lit(0).cast("long").alias("taken")))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, block_words: int = 64, seed: int = 2024) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every document."""
+    return mixed(docs, weights, max_epochs, block_words, seed).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_rows(docs: DataFrame, seed: int = 77, **options) -> DataFrame:
+    """The rows of docs, all columns as they are, each as often as the mix takes it: whole passes, and one more by chance for a part of a pass."""
+    found = mixed(docs, **options)
+    passes = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0)
+    chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_hash"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    times = F.floor(passes) + (chance < passes - F.floor(passes)).cast("long")
+    wanted = found.groupBy("doc_id", "source", "text_hash").agg(F.sum(times).alias("times"), F.count("*").alias("rows")).where("times > 0")
+    keys = {"doc_id": F.col("doc_id").cast("long"), "source": F.col("source").cast("string"), "text_hash": text_hash(F.col("text"))}
+    return taken_rows(docs, keys, wanted)

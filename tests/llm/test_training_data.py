@@ -1,8 +1,9 @@
 """Training-data operators against brute force, on odd rows: nulls, blanks, repeats, clashing columns, no rows."""
 
 import hashlib
+import struct
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import duckdb
@@ -358,8 +359,75 @@ def test_mixing(spark):
         assert (r.source_size, round(r.target, 3)) == (sizes[s], round(want[s], 3)) and r.taken <= 3 * r.size
         taken[s] += r.taken
     assert all(abs(taken[s] - want[s]) <= max(0.05 * want[s], 130) for s in order)
-    assert mixing.targets([100, 1, 0]) == [98.0, 3.0, 0.0] or sum(mixing.targets([100, 1, 0])) == 101
+    assert mixing.targets([100, 1, 0]) == [98.0, 3.0, 0.0] and sum(mixing.targets([5, 90, 7, 8, 1000])) == 1110
     assert mixing.mix(df.limit(0)).count() == 0
+    rows = mixing.mixed_rows(df)
+    assert rows.columns == df.columns
+    copies = defaultdict(int)
+    for r in rows.collect():
+        copies[r.doc_id, r.text] += 1
+    took, size = defaultdict(int), {}
+    for r in got:
+        took[r.doc_id] += r.taken
+        size[r.doc_id] = max(r.size, 1)
+    assert all(abs(n - took[i] / size[i]) <= 2 for (i, _), n in copies.items()) and sum(copies.values()) > 300
+
+
+def spark_hash(*values):
+    """Spark's xxhash64 of longs (int), ints ((n, 4)) and strings; nulls leave it as it is."""
+    import xxhash
+
+    h = 42
+    for v in values:
+        if v is not None:
+            raw = v.encode() if isinstance(v, str) else struct.pack("<i", v[0]) if isinstance(v, tuple) else struct.pack("<q", v)
+            h = xxhash.xxh64_intdigest(raw, seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_mixing_by_brute_force(spark):
+    """The same draws, permutations and blocks, slot by slot and word by word."""
+    rng = np.random.default_rng(16)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 120))), ["b", "a", None][int(rng.integers(0, 3))]) for i in range(150)]
+    got = {r.doc_id: r.taken for r in mixing.mix(docs_of(spark, rows), block_words=16).collect()}
+    order = ["a", "b", None]
+    sizes = [sum(len(t.split()) for _, t, s in rows if s == name) for name in order]
+    blocks = [-(-n // 16) for n in sizes]
+    need = [w * b / n for w, b, n in zip(mixing.targets(sizes), blocks, sizes, strict=True)]
+    total, size = round(sum(need)), max(16, round(sum(need)) // 64)
+    rest, begin, counts = list(need), 0, [0, 0, 0]
+    int_ = lambda n: (n, 4)
+    while begin < total:
+        left = total - begin
+        n = left if left <= size else max(1, left // 2 // size) * size
+        keep, other = mixing.alias_table([x / sum(rest) for x in rest])
+        for slot in range(begin, begin + n):
+            unit = lambda salt: spark_hash(int_(2024), int_(salt), slot) % (1 << 52) / (1 << 52)
+            cell = int(unit(1) * 3)
+            counts[picked := cell if unit(2) < keep[cell] else other[cell]] += 1
+            rest[picked] -= 1
+        rest = [max(0.0, x) for x in rest]
+        begin += n
+
+    def block_of(k, i):
+        n, x = blocks[i], k % blocks[i]
+        for r in range(mixing.ROUNDS):
+            seed = (int_(2024), int_(i), k // n)
+            mirror = (spark_hash(int_(11), int_(r), *seed) % n - x) % n
+            x = mirror if spark_hash(int_(12), int_(r), max(x, mirror), *seed) & 1 else x
+        return x
+
+    want = {}
+    for i, name in enumerate(order):
+        times = Counter(block_of(k, i) for k in range(min(counts[i], 3 * blocks[i])))
+        own = [(d, t) for d, t, s in rows if s == name]
+        buckets = round(len(own) ** 0.5)
+        at = 0
+        for d, t in sorted(own, key=lambda r: (spark_hash(int_(7), r[0], spark_hash(r[1]), len(r[1].split())) % buckets, r[0])):
+            n = len(t.split())
+            want[d] = sum(times[w // 16] for w in range(at, at + n))
+            at += n
+    assert got == want and sum(want.values()) > 0.9 * sum(mixing.targets(sizes))
 
 
 def test_permutation(spark):

@@ -4,8 +4,8 @@
    pseudorandom order, and the stream is cut into blocks of ``block_words`` words.
 2. The mix is a row of slots in output shards of equal size.  Each shard draws its source
    counts from a multinomial distribution: every slot draws its source (alias method).  Shards
-   are drawn in phases, each of half of the slots left; a phase's probabilities are what the
-   sources still need, so that what chance gave too much or too little is made up for.
+   are drawn in three phases (5/6 of them, 5/6 of those left, the rest); a phase's probabilities
+   are what the sources still need, so that later ones make up for the chance in earlier ones.
 3. The k-th slot of a source takes block ``permutation(k mod blocks)`` of pass
    ``k div blocks``; the permutation is a swap-or-not shuffle of the source's block indexes,
    another one for each pass, so that no block is taken once more before all are taken.
@@ -41,6 +41,7 @@ MAX_SOURCES = 100_000
 #: Slots of a shard: the 64th part of the mix, within these limits.
 SHARD_SLOTS = (16, 4096)
 ROUNDS = 8
+PHASES = 3
 _SPACE = r"\x20\x09-\x0D"
 
 
@@ -94,9 +95,11 @@ def drawn(spark: SparkSession, need: list[float], seed: int) -> DataFrame:
     unit = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "id"), F.lit(1 << 52)) / F.lit(float(1 << 52))
     rest, begin = list(need), 0
     counts = spark.range(0).selectExpr("0 sidx", "id shard", "id n")
-    while begin < total and sum(rest) > 0:
+    for phase in range(PHASES):
         left = total - begin
-        slots = left if left <= size else max(1, left // 2 // size) * size
+        slots = left if phase == PHASES - 1 else left * 5 // 6 // size * size
+        if not slots or not sum(rest):
+            continue
         keep, other = alias_table([x / sum(rest) for x in rest])
         table = spark.createDataFrame(list(zip(range(len(keep)), keep, other, strict=True)), "cell int, keep double, other int")
         cell = F.least(F.floor(unit(1) * len(keep)).cast("int"), F.lit(len(keep) - 1))

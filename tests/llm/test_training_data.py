@@ -397,9 +397,7 @@ def test_mixing_by_brute_force(spark):
     total, size = round(sum(need)), max(16, round(sum(need)) // 64)
     rest, begin, counts = list(need), 0, [0, 0, 0]
     int_ = lambda n: (n, 4)
-    while begin < total:
-        left = total - begin
-        n = left if left <= size else max(1, left // 2 // size) * size
+    for n in ((first := total * 5 // 6 // size * size), (then := (total - first) * 5 // 6 // size * size), total - first - then):
         keep, other = mixing.alias_table([x / sum(rest) for x in rest])
         for slot in range(begin, begin + n):
             unit = lambda salt: spark_hash(int_(2024), int_(salt), slot) % (1 << 52) / (1 << 52)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -53,6 +54,14 @@ def written(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataF
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    """A table of a few rows that the driver holds, as one literal of the plan (no Python RDD)."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    kind = "array<struct<" + ", ".join(c.replace(" ", ": ", 1) for c in schema.split(", ")) + ">>"
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows], ensure_ascii=False)
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), kind)))
+
+
 def arrow_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Skip the empty batches that Spark may hand to a worker."""
     return (b for b in batches if b.num_rows)

@@ -32,9 +32,8 @@ from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import bucketed_prefix, taken_rows, text_hash, written
+from .common import bucketed_prefix, small_table, taken_rows, text_hash, written
 
 WEIGHTS = (5, 2, 1)
 MAX_SOURCES = 100_000
@@ -101,7 +100,7 @@ def drawn(spark: SparkSession, need: list[float], seed: int) -> DataFrame:
         if not slots or not sum(rest):
             continue
         keep, other = alias_table([x / sum(rest) for x in rest])
-        table = spark.createDataFrame(list(zip(range(len(keep)), keep, other, strict=True)), "cell int, keep double, other int")
+        table = small_table(spark, "cell int, keep double, other int", list(zip(range(len(keep)), keep, other, strict=True)))
         cell = F.least(F.floor(unit(1) * len(keep)).cast("int"), F.lit(len(keep) - 1))
         slot = spark.range(begin, begin + slots, numPartitions=-(-slots // 50_000)).withColumn("cell", cell)
         picked = F.when(unit(2) < F.col("keep"), F.col("cell")).otherwise(F.col("other"))
@@ -129,9 +128,9 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
     # slots that a source needs: its block holds size / blocks words on average
     need = [w * b / n if n else 0.0 for w, b, n in zip(wanted, blocks, sizes, strict=True)]
     root = lambda n: max(1, round(math.sqrt(n)))
-    listed = T.StructType([T.StructField("_source", T.StringType()), T.StructField("sidx", T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("_blocks", T.LongType()), T.StructField("_buckets", T.LongType())])
+    listed = "_source string, sidx int, source_size bigint, target double, _blocks bigint, _buckets bigint"
     rows = [(r.source, i, sizes[i], wanted[i], blocks[i], root(r.n)) for i, r in enumerate(found)]
-    sources = F.broadcast(spark.createDataFrame(rows, listed))  # at most MAX_SOURCES rows
+    sources = F.broadcast(small_table(spark, listed, rows))  # at most MAX_SOURCES rows
 
     # ordinals of the slots within their source; slots are dealt evenly before each becomes a row
     counts = drawn(spark, need, seed)

@@ -1,18 +1,21 @@
 """Near-duplicate documents: MinHash bands, sequential Bayesian verification, exact links.
 
 1. Each text becomes its set of word shingles (64-bit hashes) and a MinHash signature.
-   Texts with the same set share a node, named by a 128-bit digest of the set.
-2. Nodes that agree in all hashes of a band are candidates.  Band members are tied to the
-   smallest node of their bucket, and connected components of these ties give clusters;
-   two nodes that share any bucket are in one cluster.
-3. A cluster is cut into chunks, and every pair of chunks is one unit of work, so no task
-   holds more than two chunks however large a cluster is, and no pair is ever a row.
-   In a unit, candidate pairs (a shared band) are compared signature batch by signature
-   batch; after each batch the posterior probability that the similarity reaches the
-   threshold (uniform prior) is bounded, and pairs below the miss probability are dropped.
-   Survivors, most similar first, are verified on the full sets unless they are already
-   connected within the unit.  The unit yields a forest of verified links.
-4. Connected components of all verified links are the result.
+   Texts with the same set share a node, named by the least document id with the set and a
+   128-bit digest of it.
+2. Nodes that agree in all hashes of a band share a bucket; all pairs in a bucket are
+   candidates.  Candidate nodes keep their signature and shingle hashes in a table, so texts
+   are read once more for them and never again.
+3. Members of a bucket are first compared with its smallest node alone.  A comparison goes
+   signature batch by signature batch; after each batch the posterior probability that the
+   similarity reaches the threshold (uniform prior) is bounded, and pairs below the miss
+   probability are dropped.  Survivors are verified on the full sets.
+4. Components of these links leave few buckets whose members are not connected yet.  There,
+   pairs of different components are compared: a bucket's members are dealt to chunks of one
+   component each, small components share chunks, and a pair of chunks is a unit of work
+   unless both hold the same single component.  No pair is ever a row, and no unit holds more
+   than two chunks however large a bucket is.
+5. Connected components of all verified links are the result.
 
 Misses can only come from the bands or the posterior bound.  With the default ``miss`` each
 is below 1e-5 at the threshold itself and far lower above.
@@ -21,6 +24,8 @@ Defined cases: null or blank texts have an empty set, are linked with nothing an
 their own component; texts with fewer words than a shingle have their whole sequence as
 one shingle; repeated rows are equal texts; null ids never name a component unless all ids
 are null; extra columns are ignored; an empty table gives an empty result.
+``deduplicated`` keeps exactly one row of each component, also where ids are null or repeated
+and where rows are, and all rows without words.
 """
 
 from __future__ import annotations
@@ -35,11 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, written
+from .common import WORD_PATTERN, arrow_rows, taken_rows, text_hash, written
 from .components import components
 
 BATCH = 32
 CHUNK = 128
+#: Ties of one hub in a task.
+HUB_TIES = 512
 BLOCK_BYTES = 1 << 20
 NODES = "doc_id bigint, th bigint, n_shingles bigint, node binary, bands array<bigint>"
 
@@ -49,7 +56,7 @@ def _random() -> dict[str, np.ndarray]:
     """Fixed random odd multipliers."""
     rng = np.random.default_rng(424242)
     odd = lambda n: rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
-    return {"bytes": odd(256), "words": odd(64), "short": odd(64), "band": odd(64), "a": odd(4096).astype(np.uint32) | np.uint32(1), "b": odd(4096).astype(np.uint32), "places": odd(1 << 12)}
+    return {"bytes": odd(256), "words": odd(1024), "short": odd(1024), "band": odd(64), "a": odd(4096).astype(np.uint32) | np.uint32(1), "b": odd(4096).astype(np.uint32), "places": odd(1 << 12)}
 
 
 def _places(n: int) -> np.ndarray:
@@ -131,7 +138,7 @@ def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 @lru_cache(8)
 def plan(threshold: float, miss: float) -> tuple[int, int, tuple[int, ...]]:
     """Bands, rows, and the least matches that a pair needs after each batch to stay."""
-    rows = 8 if threshold >= 0.85 else 6
+    rows = 8 if threshold >= 0.85 else 6 if threshold >= 0.7 else 3
     bands = math.ceil(math.log(miss) / math.log1p(-(threshold**rows)))
     size = -(-bands * rows // BATCH) * BATCH
     least, per_batch = [], miss / (size // BATCH)
@@ -145,17 +152,6 @@ def plan(threshold: float, miss: float) -> tuple[int, int, tuple[int, ...]]:
     return bands, rows, tuple(least)
 
 
-def survivors(sigs: np.ndarray, bands: np.ndarray, pairs: np.ndarray, least: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs that every batch's posterior bound lets pass, and their agreeing hashes."""
-    agree = np.zeros(len(pairs), np.int64)
-    for k, need in enumerate(least):
-        part = slice(k * BATCH, (k + 1) * BATCH)
-        agree += (sigs[pairs[:, 0], part] == sigs[pairs[:, 1], part]).sum(axis=1)
-        keep = agree >= need
-        pairs, agree = pairs[keep], agree[keep]
-    return pairs, agree
-
-
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """100 * intersection >= percent * union, exactly."""
     small, large = (a, b) if len(a) <= len(b) else (b, a)
@@ -166,25 +162,40 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def unit_links(texts: list[str], sides: list[int], k: int, percent: int, miss: float) -> list[tuple[int, int]]:
-    """A forest of verified links among the texts of a unit; sides 0 and 1 mean that only pairs across count, all 0 that all count."""
+def matching(sigs_a: np.ndarray, sigs_b: np.ndarray, least: tuple[int, ...]) -> np.ndarray:
+    """Which of the pairs of signatures every batch's posterior bound lets pass."""
+    open_ = np.arange(len(sigs_a))
+    agree = np.zeros(len(sigs_a), np.int64)
+    for k, need in enumerate(least):
+        part = slice(k * BATCH, (k + 1) * BATCH)
+        agree[open_] += (sigs_a[open_, part] == sigs_b[open_, part]).sum(axis=1)
+        open_ = open_[agree[open_] >= need]
+    return open_
+
+
+def unit_links(sigs: np.ndarray, sets: list[np.ndarray], components: list[bytes], side: np.ndarray, band: int, percent: int, miss: float) -> list[tuple[int, int]]:
+    """Verified links that connect different components among the members of a bucket.
+
+    Pairs whose first common band is another one are left to that band's bucket.  Where side
+    holds 0 and 1, only pairs across count.
+    """
     bands_n, rows, least = plan(percent / 100, miss)
-    sets = list(shingle_sets(texts, k))
-    size = len(least) * BATCH
-    sigs = np.array([signature(s, size) for s in sets])
-    bands = np.array([band_hashes(s, bands_n, rows) for s in sigs])
-    side = np.array(sides)
-    across = bool(side.any())
+    bands = np.array([band_hashes(s, bands_n, rows) for s in sigs]).reshape(len(sigs), bands_n)
+    number: dict[bytes, int] = {}
+    label = np.array([number.setdefault(c, len(number)) for c in components])
+    across, places = bool(side.any()), np.arange(len(sigs))
     found = []
-    for i in range(len(texts)):
-        mates = np.flatnonzero((side == 1) if across and side[i] == 0 else (np.arange(len(texts)) > i) & (not across))
+    for i in range(len(sigs)):
+        if across and side[i]:
+            continue
+        mates = np.flatnonzero(((side == 1) if across else (places > i)) & (label != label[i]))
         if len(mates):
-            mates = mates[(bands[mates] == bands[i]).any(axis=1)]
+            mates = mates[(bands[mates] == bands[i]).argmax(axis=1) == band]
+            mates = mates[matching(np.broadcast_to(sigs[i], (len(mates), sigs.shape[1])), sigs[mates], least)]
             found.append(np.stack([np.full(len(mates), i), mates], axis=1))
-    if not found:
-        return []
-    pairs, agree = survivors(sigs, bands, np.concatenate(found), least)
-    root = list(range(len(texts)))
+    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    agree = (sigs[pairs[:, 0]] == sigs[pairs[:, 1]]).sum(axis=1)
+    root = list(range(len(number)))
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -195,7 +206,7 @@ def unit_links(texts: list[str], sides: list[int], k: int, percent: int, miss: f
     out = []
     for i in np.argsort(-agree, kind="stable").tolist():
         a, b = pairs[i].tolist()
-        if (x := find(a)) != (y := find(b)) and linked(sets[a], sets[b], percent):
+        if (x := find(label[a])) != (y := find(label[b])) and linked(sets[a], sets[b], percent):
             root[x] = y
             out.append((a, b))
     return out
@@ -223,36 +234,123 @@ def _nodes(docs: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "xxhash64(cast(text as string)) th", "cast(text as string) text").mapInArrow(run, NODES)
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document, and ``node`` (null: empty set)."""
-    rows = written(_nodes(docs, shingle_words, percent, miss), "nd-rows")
-    reps = rows.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "bands")).alias("r")).select("node", "r.doc_id", "r.th", "r.bands")
-    reps = written(reps, "nd-nodes")
-    banded = reps.select("node", F.posexplode("bands").alias("band", "h"))
-    buckets = banded.groupBy("band", "h").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1").drop("size")
-    ties = banded.join(buckets, ["band", "h"]).where("node <> hub").select("node", "hub").distinct()
-    clusters = written(components(ties, "node", "hub"), "nd-clusters")
-
-    # chunks and their pairs
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("size")).select("component", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
-    member = clusters.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).join(reps.drop("bands"), "node")
-    text = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).withColumn("_th", F.xxhash64("text"))
-    found = text.join(member, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_th") == F.col("th")))
-    units = found.select("component", "node", "chunk", "text", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    units = units.select("component", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "node", "text")
+def _members(texts: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
+    """key, signature and shingle hashes of nodes (key, text)."""
+    size = len(plan(percent / 100, miss)[2]) * BATCH
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow_rows(batches):
+            sets = list(shingle_sets(batch.column(1).to_pylist(), k))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signature(s, size).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "sig", "shingles"])
+
+    return texts.select("key", "text").mapInArrow(run, "key binary, sig binary, shingles binary")
+
+
+def _hub_links(ties: DataFrame, members: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Verified links among ties (key, hub): a plain join on both sides, a hub's row repeated where it has many ties."""
+    least = plan(percent / 100, miss)[2]
+    parts = ties.groupBy("hub").agg(F.ceil(F.count("*") / HUB_TIES).cast("int").alias("parts"))
+    hubs = members.join(parts, F.col("key") == F.col("hub")).select("hub", F.col("sig").alias("hub_sig"), F.col("shingles").alias("hub_shingles"), "parts")
+    hubs = hubs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    dealt = ties.join(parts, "hub").select("hub", "key", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"))
+    pairs = dealt.join(members, "key").join(hubs, ["hub", "part"]).select("key", "hub", "sig", "hub_sig", "shingles", "hub_shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow_rows(batches):
+            sigs = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in (2, 3)]
+            good = [i for i in matching(*sigs, least).tolist() if linked(np.frombuffer(batch.column(4)[i].as_py(), np.uint64), np.frombuffer(batch.column(5)[i].as_py(), np.uint64), percent)]
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(good, pa.int64())) for c in (0, 1)], names=["a", "b"])
+
+    return pairs.mapInArrow(run, "a binary, b binary")
+
+
+def _bucket_links(found: DataFrame, members: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Verified links among members (band, h, key, component) of buckets that hold several components."""
+    sizes = found.groupBy("band", "h", "component").agg(F.count("*").alias("size"))
+    # chunks of a large component are its own, small components share some by their hash
+    pooled = sizes.withColumn("small", F.col("size") < CHUNK)
+    totals = pooled.groupBy("band", "h").agg(F.sum(F.when(F.col("small"), F.col("size")).otherwise(0)).alias("pool"))
+    own = pooled.where("not small").select("band", "h", F.col("component").alias("group"), F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
+    pool = totals.where("pool > 0").select("band", "h", F.lit(None).cast("binary").alias("group"), F.ceil(F.col("pool") / CHUNK).cast("int").alias("chunks"))
+    groups = own.unionByName(pool)
+    placed = found.join(pooled.select("band", "h", "component", F.when(~F.col("small"), F.col("component")).alias("group")), ["band", "h", "component"])
+    same = lambda a, b: (F.col(f"{a}.band") == F.col(f"{b}.band")) & (F.col(f"{a}.h") == F.col(f"{b}.h"))
+    dealt = placed.alias("p").join(groups.alias("g"), same("p", "g") & F.col("p.group").eqNullSafe(F.col("g.group"))).select("p.band", "p.h", "p.key", "p.component", "p.group", F.pmod(F.xxhash64(F.lit(3), F.when(F.col("p.group").isNull(), F.col("p.component")).otherwise(F.col("p.key"))), F.col("g.chunks")).cast("int").alias("chunk"))
+    # the other chunks of the bucket that a member meets; a large component never meets itself
+    others = groups.select("band", "h", F.col("group").alias("other"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other_chunk")).groupBy("band", "h").agg(F.collect_list(F.struct("other", "other_chunk")).alias("others"))
+    wide = dealt.join(others, ["band", "h"]).select("band", "h", "key", "component", "group", "chunk", F.explode("others").alias("o"))
+    wide = wide.where(F.col("group").isNull() | ~F.col("group").eqNullSafe(F.col("o.other")))
+    name = lambda group, chunk: F.concat_ws("/", F.coalesce(F.hex(group), F.lit("")), chunk.cast("string"))
+    mine, theirs = name(F.col("group"), F.col("chunk")), name(F.col("o.other"), F.col("o.other_chunk"))
+    units = wide.select("band", "h", F.least(mine, theirs).alias("i"), F.greatest(mine, theirs).alias("j"), (mine > theirs).cast("int").alias("side"), "key", "component")
+    full = units.join(members, "key")
 
     def verify(table: pa.Table) -> pa.Table:
-        table = table.sort_by("node")
-        rows = {n: (side, text) for n, side, text in zip(*(table.column(c).to_pylist() for c in ("node", "side", "text")), strict=True)}
-        nodes = list(rows)
-        links = unit_links([t for _, t in rows.values()], [x for x, _ in rows.values()], shingle_words, percent, miss)
-        return pa.table({"a": pa.array([nodes[x] for x, _ in links], pa.binary()), "b": pa.array([nodes[y] for _, y in links], pa.binary())})
-
-    links = units.groupBy("component", "i", "j").applyInArrow(verify, "a binary, b binary")
-    joined = components(written(links, "nd-links"), "a", "b")
-    named = reps.select("node", "doc_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "component").select(F.col("node").alias("_n"), "component_id")
+        table = table.sort_by("key")
+        keys = table.column("key").to_pylist()
+        sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(keys), -1)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        links = unit_links(sigs, sets, table.column("component").to_pylist(), table.column("side").to_numpy(), table.column("band")[0].as_py(), percent, miss)
+        return pa.table({"a": pa.array([keys[x] for x, _ in links], pa.binary()), "b": pa.array([keys[y] for _, y in links], pa.binary())})
+
+    return full.groupBy("band", "h", "i", "j").applyInArrow(verify, "a binary, b binary")
+
+
+_SIGN = -(1 << 63)
+
+
+def _key(doc_id, node):
+    """Bytes that sort by id (nulls last), then by digest."""
+    turned = F.unhex(F.lpad(F.hex(doc_id.bitwiseXOR(F.lit(_SIGN))), 16, "0"))
+    return F.concat(F.when(doc_id.isNull(), F.unhex(F.lit("01" + "00" * 8))).otherwise(F.concat(F.unhex(F.lit("00")), turned)), node)
+
+
+def _key_id(key):
+    """The id in a key, or null."""
+    number = F.conv(F.hex(F.substring(key, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(_SIGN))
+    return F.when(F.hex(F.substring(key, 1, 1)) == "00", number)
+
+
+def _joined(docs: DataFrame, k: int, percent: int, miss: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, th, n_shingles, node), and nodes: node, key, component, doc_id, th, and how many rows have both."""
+    if not 1 <= k <= len(_random()["words"]):
+        raise ValueError(f"shingles have 1 to {len(_random()['words'])} words")
+    rows = written(_nodes(docs, k, percent, miss), "nd-rows")
+    some = rows.where("node is not null").groupBy("node", "doc_id", "th").agg(F.count("*").alias("rows"), F.first("bands").alias("bands"))
+    reps = some.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "rows", "bands")).alias("r")).select("node", "r.doc_id", "r.th", "r.rows", "r.bands")
+    reps = written(reps.withColumn("key", _key(F.col("doc_id"), F.col("node"))), "nd-nodes")
+    banded = reps.select("key", F.posexplode("bands").alias("band", "h"))
+    buckets = banded.groupBy("band", "h").agg(F.min("key").alias("hub"), F.count("*").alias("size")).where("size > 1").drop("size")
+    shared = written(banded.join(buckets, ["band", "h"]), "nd-shared")
+    candidates = reps.join(shared.select("key").distinct(), "key").select("key", F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    found = text.join(candidates, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
+    members = written(_members(found, k, percent, miss), "nd-members").dropDuplicates(["key"])
+    ties = shared.where("key <> hub").select("key", "hub").distinct()
+    first = written(_hub_links(ties, members, percent, miss), "nd-hub-links")
+    joined = components(first, "a", "b")
+    named = shared.join(joined, F.col("key") == F.col("node"), "left").select("band", "h", "key", F.coalesce("component", "key").alias("component"))
+    named = written(named, "nd-named")
+    several = named.groupBy("band", "h").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("band", "h")
+    more = written(_bucket_links(written(named.join(several, ["band", "h"]), "nd-open"), members, percent, miss), "nd-links")
+    final = components(first.unionByName(more), "a", "b").select(F.col("node").alias("_k"), "component")
+    nodes = reps.join(final, F.col("key") == F.col("_k"), "left").select("node", "key", F.coalesce("component", "key").alias("component"), "doc_id", "th", "rows")
+    return rows, nodes
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document, and ``node`` (null: empty set)."""
+    rows, nodes = _joined(docs, shingle_words, percent, miss)
+    named = nodes.select(F.col("node").alias("_n"), _key_id(F.col("component")).alias("component_id"))
     out = rows.drop("bands", "th").join(named, F.col("node") == F.col("_n"), "left").drop("_n")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), "node").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def deduplicated(docs: DataFrame, shingle_words: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
+    """The rows of docs, all columns as they are: one of each component, and all without words."""
+    _, nodes = _joined(docs, shingle_words, percent, miss)
+    wanted = nodes.where("key = component").select("doc_id", F.col("th").alias("text_hash"), F.lit(1).alias("times"), "rows")
+    words = F.coalesce(F.col("text").cast("string").rlike(WORD_PATTERN), F.lit(False))
+    keys = {"doc_id": F.col("doc_id").cast("long"), "text_hash": text_hash(F.col("text"))}
+    return taken_rows(docs.where(words), keys, wanted).unionByName(docs.where(~words))

@@ -216,6 +216,41 @@ def test_near_duplicates(spark, monkeypatch):
     key = lambda r: tuple(map(str, r))
     assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found), key=key) == sorted(want, key=key)
     assert neardup.near_duplicates(docs_of(spark, rows).limit(0)).count() == 0
+    kept = neardup.deduplicated(docs_of(spark, rows), 3, 85)
+    assert kept.columns == docs_of(spark, rows).columns
+    blank = [i for i, t in rows if not (t or "").split()]
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for i, _, c, _ in want if i not in blank} | {i for i in blank})
+
+
+def test_deduplicated_odd_rows(spark):
+    """Null and repeated ids: one row of each text stays."""
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (3, "g h i j k l"), (None, "g h i j k l"), (5, "m n o p q r"), (5, "m n o p q r"), (7, "s t u v w x"), (7, "S t u v w x"), (8, None), (8, None), (None, " ")]
+    kept = neardup.deduplicated(docs_of(spark, rows)).collect()
+    assert sorted(str((r.doc_id, (r.text or "").lower())) for r in kept) == sorted(map(str, [(None, "a b c d e f"), (3, "g h i j k l"), (5, "m n o p q r"), (7, "s t u v w x"), (8, ""), (8, ""), (None, " ")]))
+    assert neardup.deduplicated(docs_of(spark, rows).limit(0)).count() == 0
+
+
+def test_links_beyond_the_hub(spark, monkeypatch):
+    """Chains and stars whose members link each other but not their bucket's smallest node, over several chunks."""
+    monkeypatch.setattr(neardup, "CHUNK", 3)
+    monkeypatch.setattr(neardup, "HUB_TIES", 4)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[3 * i : 3 * i + 120])) for i in range(60)] + [(1000 + i, " ".join([*words[:100], *[f"x{i}y{j}" for j in range(40)]])) for i in range(12)]
+    sets = {i: shingles(t, 3) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    found = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs_of(spark, rows), 3, 85).collect()}
+    assert found == {i: find(i) for i in sets} and len({*found.values()}) == 13
 
 
 def test_posterior_plan():

@@ -4,8 +4,9 @@ Toxic documents go, then low-quality ones, then all but one document of each gro
 duplicates (five words, similarity 0.8); the rest is mixed to the target weights of its
 sources (a document comes as often as the mix takes it, down to not at all), and encoded.
 
-Each stage takes (spark, docs, sf_dir) and works on all rows of its predecessor.  Defined
-cases are those of the operators; null ids go through all stages.
+Each stage takes (spark, docs, sf_dir) and works on all rows of its predecessor, extra columns
+included, whatever their names.  Defined cases are those of the operators; rows with null or
+repeated ids go through all stages as rows of their own.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from __future__ import annotations
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, mixing, neardup, quality, toxicity
 from quillspark.llm.common import table, written
@@ -22,12 +22,6 @@ from quillspark.llm.common import table, written
 ORACLE_SQL = None
 
 
-def _kept(docs: DataFrame, judged: DataFrame, keep) -> DataFrame:
-    """The rows of docs whose id a judgement keeps; ids judged both ways, and null ids, go by any judgement that keeps them."""
-    ids = judged.where(keep).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.filtered(docs, model, lambda toxic: ~toxic)
@@ -39,19 +33,13 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = neardup.near_duplicates(docs, shingle_words=5, percent=80)
-    return _kept(docs, found, F.col("kept"))
+    """One row of each group stays, by row and not by id: null and repeated ids make no difference."""
+    return neardup.deduplicated(docs, shingle_words=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: whole passes, and one more by chance for a part of a pass."""
-    mixed = mixing.mix(docs).where("taken > 0")
-    passes = F.col("taken") / F.col("size")
-    chance = F.pmod(F.xxhash64(F.lit(77), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    times = F.floor(passes) + (chance < passes - F.floor(passes)).cast("int")
-    times = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.max(times).alias("_times")).where("_times > 0")
-    joined = docs.join(times, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)
+    return mixing.mixed_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

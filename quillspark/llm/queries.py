@@ -26,7 +26,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     name = F.when(F.col("doc_id") % 20 == 0, "LICENSE.txt").otherwise(F.concat(F.lit("doc"), F.col("doc_id"), F.lit(".txt")))
     deep = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("d"), F.expr("doc_id % 7"), F.lit("/"))).otherwise("")
-    path = F.concat("source", F.lit("/"), "lang", F.lit("/g"), F.expr("doc_id div 100"), F.lit("/"), deep, name)
+    path = F.concat(F.coalesce("source", F.lit("no-source")), F.lit("/"), F.coalesce("lang", F.lit("no-lang")), F.lit("/g"), F.expr("doc_id div 100"), F.lit("/"), deep, name)
     return scan(docs.withColumn("path", path))
 
 

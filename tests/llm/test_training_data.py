@@ -1,7 +1,10 @@
 """Training-data operators against brute force, on odd rows: nulls, blanks, repeats, clashing columns, no rows."""
 
 import hashlib
+import math
+import re
 import struct
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -504,6 +507,62 @@ def test_licence_bound_leaves_nothing_out(spark):
         assert want and want <= {r.line for r in kept.collect()}
 
 
+def test_licences_by_brute_force(spark):
+    """TF-IDF cosines of all lines, windows and whole licence files in plain Python, over 200 files."""
+    rng = np.random.default_rng(12)
+    headers, texts = licences.TEMPLATES, licences.TEXTS
+    pool = " ".join(headers.values()).split() + "the of and to is a zebra stone river".split() * 6
+
+    def words(t):
+        w = re.findall(r"[^\W_]+", t.lower())
+        return Counter([*w, *map(" ".join, zip(w, w[1:], strict=False))])
+
+    def model(templates):
+        tf = {n: words(t) for n, t in templates.items()}
+        idf = {t: math.log((1 + len(tf)) / (sum(t in v for v in tf.values()) + 1)) + 1 for v in tf.values() for t in v}
+        unknown = math.log(1 + len(tf)) + 1
+        norm = {n: math.sqrt(sum((c * idf[t]) ** 2 for t, c in v.items())) for n, v in tf.items()}
+
+        def best(text):
+            own = words(text)
+            size = math.sqrt(sum((c * idf.get(t, unknown)) ** 2 for t, c in own.items()))
+            return min((-round(sum(own[t] * c * idf[t] ** 2 for t, c in v.items()) / norm[n], 9) / size, n) for n, v in tf.items()) if own else (0, "")
+
+        return best
+
+    by_header, by_all = model(headers), model(headers | texts)
+    rows = []
+    for i in range(200):
+        part = lambda t: " ".join(t.split()[: int(rng.integers(3, 60))])
+        some = [part(rng.choice([*headers.values(), *texts.values()])) if rng.random() < 0.4 else " ".join(rng.choice(pool, rng.integers(1, 12))) for _ in range(rng.integers(1, 5))]
+        if i % 10 == 0:
+            some = textwrap.wrap(rng.choice([*texts.values()]), 70)
+        rows.append((i, f"d{i}/{'LICENSE' if i % 5 == 0 else 'x.py'}", "\n".join(some)))
+    got = {r.doc_id: (r.own, r.cosine) for r in licences.scan(spark.createDataFrame(rows, "doc_id bigint, path string, text string")).collect()}
+    hits = 0
+    for i, path, text in rows:
+        lines = [x.strip() for x in text.split("\n") if x.strip()]
+        found = [by_header(" ".join(lines[a:b])) for a in range(len(lines)) for b in range(a + 1, min(a + 3, len(lines)) + 1)] + ([by_all(text)] if path.endswith("LICENSE") else [])
+        cosine = -min(found)[0]
+        if round(cosine, 6) >= 0.5:
+            hits += 1
+            names = {n.split("#")[0] for c, n in found if abs(c + cosine) < 1e-6}
+            assert got[i][0] in names and abs(got[i][1] - cosine) < 2e-6
+        else:
+            assert got[i] == (None, None)
+    assert 60 < hits < 190
+
+
+def test_wrapped_headers_and_whole_files(spark):
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."
+    own = "Everyone is permitted to copy and distribute verbatim or modified copies of this licence document, and changing it is allowed as long as the name is changed."
+    rows = [(1, "a/x.py", gpl), (2, "b/LICENSE", "\n".join(textwrap.wrap("Copyright (c) 2020 Somebody\n" + licences.TEXTS["MIT#text"], 75))), (3, "c/COPYING", "\n".join(textwrap.wrap(licences.TEXTS["BSD-2-Clause#text"], 70))), (4, "d/LICENSE", "\n".join(textwrap.wrap(licences.TEXTS["ISC#text"], 60))), (5, "c/y.c", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, path string, text string")
+    assert {r.doc_id: r.licence for r in licences.scan(df).collect()} == {1: "GPL-3.0", 2: "MIT", 3: "BSD-2-Clause", 4: "ISC", 5: "BSD-2-Clause"}
+    df = spark.createDataFrame([(1, "x.py", own), (2, "y.py", "\n".join(textwrap.wrap(own, 60)))], "doc_id bigint, path string, text string")
+    assert [(r.licence, r.how) for r in licences.scan(df, templates={"WTFPL": own}).collect()] == [("WTFPL", "header")] * 2
+
+
 @pytest.mark.parametrize("name", ["op3_url_filter", "op5_pivot_topk"])
 def test_oracles(spark, data, name):
     df = queries()[name](spark, data)

@@ -7,8 +7,9 @@ corpus is judged by the first level that rejects it, with no join to the list.
 
 Built and asked with DataFrame operations only.  A level is an array of 64-bit words.
 Where all levels of all shards together stay below ``literal_words`` words (8 MB by
-default), they reach the scan as scalar values; beyond that, keys are dealt to hash shards
-of ``SHARD_WORDS`` words each and rows meet their own shard's words by shard number.
+default), they reach the scan as scalar values, with no join at all; beyond that, keys are
+dealt to hash shards of ``SHARD_WORDS`` words each, and rows meet the row that holds all
+levels of their shard in one join by shard number (never the list itself).
 
 Defined cases: null urls and urls without ``://`` have empty host and path and match no
 rule; their key is the empty string, as any other key; repeated rows keep one result row
@@ -106,31 +107,41 @@ class Cascade:
         body = F.flatten(F.transform("s", step))
         return lists.select("shard", F.concat(body, zeros(F.lit(bits // 64) - F.size(body))).alias("words"))
 
-    def _asked(self, rows: DataFrame, level: int, key: Column) -> DataFrame:
-        """Adds ``_in``: whether the level takes the key for one of its own."""
+    def _in(self, level: int, key: Column, words: Column) -> Column:
+        """Whether the level takes the key for one of its own."""
         lv = self.levels[level]
-        if self.shards == 1:
-            words = lv.words.select("words").scalar()
-        else:
-            rows = rows.withColumn("_shard", self._shard(key)).join(lv.words.withColumnRenamed("words", "_words"), F.col("_shard") == F.col("shard"), "left").drop("shard", "_shard")
-            words = F.col("_words")
         taken = F.lit(True)
         for h in range(lv.hashes):
             at = _position(level, h, key, lv.bits)
             taken = taken & (F.getbit(F.get(words, F.floor(at / 64).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1)
-        rows = rows.withColumn("_in", F.coalesce(taken, F.lit(False)))
-        return rows if self.shards == 1 else rows.drop("_words")
+        return F.coalesce(taken, F.lit(False))
+
+    def _asked(self, rows: DataFrame, level: int, key: Column) -> DataFrame:
+        """Adds ``_in``: what one level says."""
+        if self.shards == 1:
+            return rows.withColumn("_in", self._in(level, key, self.levels[level].words.select("words").scalar()))
+        joined = rows.withColumn("_shard", self._shard(key)).join(self.levels[level].words.withColumnRenamed("words", "_words"), F.col("_shard") == F.col("shard"), "left")
+        return joined.withColumn("_in", self._in(level, key, F.col("_words"))).drop("shard", "_shard", "_words")
 
     def judged(self, rows: DataFrame, key: str, out: str) -> DataFrame:
-        """Adds whether ``key`` is listed.  Exact for all keys that the cascade was built over."""
-        marks = []
-        for i in range(len(self.levels)):
-            rows = self._asked(rows, i, F.col(key)).withColumnRenamed("_in", f"_in{i}")
-            marks.append(f"_in{i}")
-        found = F.lit(len(marks) % 2 == 1)
-        for i in reversed(range(len(marks))):
-            found = F.when(~F.col(marks[i]), F.lit(i % 2 == 1)).otherwise(found)
-        return rows.withColumn(out, found).drop(*marks)
+        """Adds whether ``key`` is listed.  Exact for all keys that the cascade was built over.
+
+        With shards, a shard's row holds the words of all levels, and rows meet it in one join.
+        """
+        n = len(self.levels)
+        if self.shards == 1:
+            words = [lv.words.select("words").scalar() for lv in self.levels]
+        else:
+            every = self.levels[0].words.select("shard", F.lit(0).alias("level"), "words")
+            for i, lv in enumerate(self.levels[1:], 1):
+                every = every.unionByName(lv.words.select("shard", F.lit(i).alias("level"), "words"))
+            shards = every.groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("level", "words"))).alias("_levels"))
+            rows = rows.withColumn("_shard", self._shard(F.col(key))).join(shards, F.col("_shard") == F.col("shard"), "left").drop("shard", "_shard")
+            words = [F.col("_levels")[i] for i in range(n)]
+        found = F.lit(n % 2 == 1)
+        for i in reversed(range(n)):
+            found = F.when(~self._in(i, F.col(key), words[i]), F.lit(i % 2 == 1)).otherwise(found)
+        return rows.withColumn(out, found).drop("_levels")
 
 
 def judge_pages(pages: DataFrame, rules: list[Rule], listed, literal_words: int = LITERAL_WORDS) -> DataFrame:

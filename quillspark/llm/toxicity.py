@@ -9,8 +9,8 @@ occurrence between quotation marks or near a word of reporting counts as quotati
 a word of address as abuse.  A logistic model over these sums gives the score.
 
 Defined cases: null and empty texts have no terms and get the score of such texts; without
-labelled rows of both kinds every score is 0.5 below certainty, namely the share of toxic
-rows (0 if there are none); repeated rows and null ids keep one result row each (null ids
+labelled rows, or with clean ones alone, every score is 0 (to 17 digits), with toxic ones
+alone 1; repeated rows and null ids keep one result row each (null ids
 are not held out); extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -190,8 +190,8 @@ class Lexicon:
 
     @staticmethod
     def _quoted(text: str) -> list[tuple[int, int]]:
-        """Spans between quotation marks of at most 400 characters."""
-        return [m.span() for m in re.finditer(r"[\"“«„][^\"“”«»„\n]{1,400}[\"”»“]", text)] if any(c in text for c in OPENING) else []
+        """Spans between quotation marks, of any length, within a line."""
+        return [m.span() for m in re.finditer(r"[\"“«„][^\"“”«»„\n]+[\"”»“]", text)] if any(c in text for c in OPENING) else []
 
 
 @dataclass

@@ -14,7 +14,7 @@
    pairs of different components are compared: a bucket's members are dealt to chunks of one
    component each, small components share chunks, and a pair of chunks is a unit of work
    unless both hold the same single component.  No pair is ever a row, and no unit holds more
-   than two chunks however large a bucket is.
+   than about two chunks of ``CHUNK_BYTES`` however large a bucket is.
 5. Connected components of all verified links are the result.
 
 Misses can only come from the bands or the posterior bound.  With the default ``miss`` each
@@ -44,7 +44,8 @@ from .common import WORD_PATTERN, arrow_rows, taken_rows, text_hash, written
 from .components import components
 
 BATCH = 32
-CHUNK = 128
+#: Signatures and shingle hashes in a chunk.
+CHUNK_BYTES = 16 << 20
 #: Ties of one hub in a task.
 HUB_TIES = 512
 BLOCK_BYTES = 1 << 20
@@ -266,12 +267,13 @@ def _hub_links(ties: DataFrame, members: DataFrame, percent: int, miss: float) -
 
 def _bucket_links(found: DataFrame, members: DataFrame, percent: int, miss: float) -> DataFrame:
     """Verified links among members (band, h, key, component) of buckets that hold several components."""
-    sizes = found.groupBy("band", "h", "component").agg(F.count("*").alias("size"))
+    held = members.select("key", (F.octet_length("sig") + F.octet_length("shingles")).cast("long").alias("bytes"))
+    sizes = found.join(held, "key").groupBy("band", "h", "component").agg(F.sum("bytes").alias("size"))
     # chunks of a large component are its own, small components share some by their hash
-    pooled = sizes.withColumn("small", F.col("size") < CHUNK)
+    pooled = sizes.withColumn("small", F.col("size") < CHUNK_BYTES)
     totals = pooled.groupBy("band", "h").agg(F.sum(F.when(F.col("small"), F.col("size")).otherwise(0)).alias("pool"))
-    own = pooled.where("not small").select("band", "h", F.col("component").alias("group"), F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
-    pool = totals.where("pool > 0").select("band", "h", F.lit(None).cast("binary").alias("group"), F.ceil(F.col("pool") / CHUNK).cast("int").alias("chunks"))
+    own = pooled.where("not small").select("band", "h", F.col("component").alias("group"), F.ceil(F.col("size") / CHUNK_BYTES).cast("int").alias("chunks"))
+    pool = totals.where("pool > 0").select("band", "h", F.lit(None).cast("binary").alias("group"), F.ceil(F.col("pool") / CHUNK_BYTES).cast("int").alias("chunks"))
     groups = own.unionByName(pool)
     placed = found.join(pooled.select("band", "h", "component", F.when(~F.col("small"), F.col("component")).alias("group")), ["band", "h", "component"])
     same = lambda a, b: (F.col(f"{a}.band") == F.col(f"{b}.band")) & (F.col(f"{a}.h") == F.col(f"{b}.h"))

@@ -186,7 +186,7 @@ def shingles(text, k):
 
 
 def test_near_duplicates(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "CHUNK", 8)
+    monkeypatch.setattr(neardup, "CHUNK_BYTES", 20_000)
     rng = np.random.default_rng(2)
     base = [f"w{i}" for i in rng.integers(0, 500, 120)]
     rows = [(i, " ".join("X%d" % rng.integers(1000) if rng.random() < p else w for w in base)) for i, p in enumerate(rng.uniform(0, 0.12, 60))]
@@ -235,7 +235,7 @@ def test_deduplicated_odd_rows(spark):
 
 def test_links_beyond_the_hub(spark, monkeypatch):
     """Chains and stars whose members link each other but not their bucket's smallest node, over several chunks."""
-    monkeypatch.setattr(neardup, "CHUNK", 3)
+    monkeypatch.setattr(neardup, "CHUNK_BYTES", 8_000)
     monkeypatch.setattr(neardup, "HUB_TIES", 4)
     words = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join(words[3 * i : 3 * i + 120])) for i in range(60)] + [(1000 + i, " ".join([*words[:100], *[f"x{i}y{j}" for j in range(40)]])) for i in range(12)]

@@ -13,20 +13,38 @@ CONTEXT = 3
 
 
 def diff(old: list[str], new: list[str]) -> list[tuple[str, str]]:
-    """Operations ('=', '-' or '+', line); where both orders serve, deletions come first."""
+    """Operations ('=', '-' or '+', line); where both orders serve, deletions come first.
+
+    Common ends are cut off first; of the rest's table of common lengths only two rows are held,
+    and one bit a cell says where the walk back goes.
+    """
+    head = 0
+    while head < min(len(old), len(new)) and old[head] == new[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(old), len(new)) - head and old[-1 - tail] == new[-1 - tail]:
+        tail += 1
+    same = lambda rows: [("=", x) for x in rows]
+    return same(old[:head]) + _inner(old[head : len(old) - tail], new[head : len(new) - tail]) + same(old[len(old) - tail :])
+
+
+def _inner(old: list[str], new: list[str]) -> list[tuple[str, str]]:
     ids: dict[str, int] = {}
     a, b = (np.array([ids.setdefault(x, len(ids)) for x in side], np.int64) for side in (old, new))
-    # longest[i, j]: common lines of old[i:] and new[j:]; a row is a running maximum from its end
-    longest = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    # below[j]: common lines of old[i + 1:] and new[j:]; a row is a running maximum from its end
+    below = np.zeros(len(b) + 1, np.int32)
+    down = [b""] * len(a)  # whether a deletion keeps the length
     for i in range(len(a) - 1, -1, -1):
-        take = np.where(b == a[i], longest[i + 1, 1:] + 1, longest[i + 1, :-1])
-        longest[i, :-1] = np.maximum.accumulate(take[::-1])[::-1]
+        row = np.zeros(len(b) + 1, np.int32)
+        row[:-1] = np.maximum.accumulate(np.where(b == a[i], below[1:] + 1, below[:-1])[::-1])[::-1]
+        down[i] = np.packbits(below[:-1] >= row[1:]).tobytes()
+        below = row
     out, i, j = [], 0, 0
     while i < len(a) and j < len(b):
         if a[i] == b[j]:
             out.append(("=", old[i]))
             i, j = i + 1, j + 1
-        elif longest[i + 1, j] >= longest[i, j + 1]:
+        elif down[i][j >> 3] >> (7 - (j & 7)) & 1:
             out.append(("-", old[i]))
             i += 1
         else:
@@ -42,13 +60,20 @@ def lines_of(text: str) -> list[str]:
 
 def stats(old: str, new: str) -> tuple[int, int]:
     """Lines added and removed."""
-    marks = [m for m, _ in diff(lines_of(old), lines_of(new))]
+    return _stats(diff(lines_of(old), lines_of(new)))
+
+
+def _stats(ops: list[tuple[str, str]]) -> tuple[int, int]:
+    marks = [m for m, _ in ops]
     return marks.count("+"), marks.count("-")
 
 
 def unified(old: str, new: str) -> str:
     """Hunks of changes; empty for equal texts."""
-    ops = diff(lines_of(old), lines_of(new))
+    return _hunks(diff(lines_of(old), lines_of(new)))
+
+
+def _hunks(ops: list[tuple[str, str]]) -> str:
     changed = [i for i, (m, _) in enumerate(ops) if m != "="]
     shown = sorted({j for i in changed for j in range(max(0, i - CONTEXT), min(len(ops), i + CONTEXT + 1))})
     runs: list[list[int]] = []
@@ -70,5 +95,6 @@ def unified(old: str, new: str) -> str:
 @F.pandas_udf(struct_of(added=T.IntegerType(), removed=T.IntegerType(), diff=T.StringType()))
 def compared(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     """Counts and unified diff of each pair."""
-    rows = [(*stats(a or "", b or ""), unified(a or "", b or "")) for a, b in zip(old, new, strict=True)]
+    found = (diff(lines_of(a or ""), lines_of(b or "")) for a, b in zip(old, new, strict=True))
+    rows = [(*_stats(ops), _hunks(ops)) for ops in found]
     return pd.DataFrame(rows, columns=["added", "removed", "diff"])

@@ -98,6 +98,14 @@ similars AS (SELECT a, b, s FROM (SELECT a, b, len(list_intersect(x.t, y.t)) / (
 WIKI_BODY = f"regexp_replace(content, '{BLOCK}', '')"
 STALE_BODY = f"CASE WHEN starts_with(content, '---') THEN {WIKI_BODY} ELSE content END"
 
+_DATE = """updated_at: "2025-06-01"' || chr(10) || '---' || chr(10)"""
+UPDATED = f"""wiki AS ({WIKI}),
+base AS (SELECT doc_id, slug, content, doc_id % 5 AS k, 'New text ' || CAST(doc_id AS STRING) AS t, NOT (doc_id % 5 = 3 AND NOT contains(content, '## Claims')) AS ok FROM wiki WHERE doc_id % 5 < 4),
+raw AS (SELECT *, CASE k WHEN 1 THEN content || chr(10) || chr(10) || t WHEN 3 THEN split_part(content, '## Claims', 1) || '## Claims' || chr(10) || chr(10) || t || chr(10) ELSE t END AS r FROM base),
+updated AS (SELECT doc_id, k, ok, CASE WHEN k = 2 THEN 'new-' ELSE '' END || slug AS slug, CASE WHEN k <> 2 THEN md5(content) END AS base_hash,
+  CASE WHEN starts_with(r, '---' || chr(10)) THEN regexp_replace(r, '\\n---\\n', chr(10) || '{_DATE})
+    WHEN k = 2 THEN '---' || chr(10) || 'created_at: "2025-06-01"' || chr(10) || '{_DATE} || r ELSE '---' || chr(10) || '{_DATE} || r END AS content FROM raw)"""
+
 ORACLES: dict[str, str] = {
     "bm25_topk": BM25.format(_bm25(("content",), None, 20)),
     "bm25_kind_filter": BM25.format(_bm25(("content",), "raw", 20)),
@@ -105,8 +113,8 @@ ORACLES: dict[str, str] = {
     "query_fallback": BM25.format(_bm25(("title", "content"), None, 20)),
     "match_all": f"SELECT uri, kind, 1.0::DOUBLE AS score FROM ({INDEX}) ORDER BY uri LIMIT 20",
     "phrase_match": f"WITH docs AS ({INDEX}) SELECT uri FROM docs WHERE contains(' ' || array_to_string({WORDS.format('title')}, ' ') || ' ', ' of the ') OR contains(' ' || array_to_string({WORDS.format('content')}, ' ') || ' ', ' of the ')",
-    "boolean_must_not": f"WITH docs AS ({INDEX}), w AS (SELECT uri, {WORDS.format('title')} AS a, {WORDS.format('content')} AS b FROM docs) SELECT uri FROM w WHERE (list_contains(a, 'the') OR list_contains(b, 'the')) AND NOT (list_contains(a, 'with') OR list_contains(b, 'with'))",
-    "term_stats": f"WITH docs AS ({INDEX}), t AS (SELECT uri, unnest({WORDS.format('content')}) AS term FROM docs) SELECT term, count(DISTINCT uri) AS df, count(*) AS cf FROM t GROUP BY term HAVING count(DISTINCT uri) > 1",
+    "boolean_must_not": f"WITH docs AS ({INDEX}), w AS (SELECT uri, {WORDS.format('title')} AS a, {WORDS.format('content')} AS b FROM docs) SELECT uri FROM w WHERE (list_contains(a, 'the') OR list_contains(b, 'the')) AND NOT list_contains(b, 'from')",
+    "term_stats": f"WITH docs AS ({INDEX}), t AS (SELECT uri, unnest({WORDS.format('content')}) AS term FROM docs) SELECT term, count(DISTINCT uri) AS df, count(*) AS cf FROM t GROUP BY term",
     "field_lengths": f"WITH docs AS ({INDEX}) SELECT 'title' AS field, uri, len({WORDS.format('title')}) AS dl FROM docs UNION ALL SELECT 'content', uri, len({WORDS.format('content')}) FROM docs",
     "snippets": f"SELECT uri, CASE WHEN length(content) > 300 THEN substr(content, 1, 300) || '...' ELSE content END AS snippet FROM ({INDEX})",
     "cosine_topk": f"WITH {QUERY} SELECT vec_id, round({COSINE}, 5) AS score FROM embeddings e, q ORDER BY score DESC, vec_id LIMIT 20",
@@ -117,14 +125,20 @@ ORACLES: dict[str, str] = {
 SELECT CAST(row_number() OVER (ORDER BY rrf DESC, sr NULLS LAST, lr NULLS LAST) AS INTEGER) AS position, 'page' AS kind, slug, round(coalesce(ss, ls), 5) AS score FROM fused
 UNION ALL SELECT CAST((SELECT count(*) FROM fused) + row_number() OVER (ORDER BY round(score, 9) DESC, slug) AS INTEGER), 'raw', slug, round(score, 5) FROM raws""",
     "content_hash_gate": f"WITH wiki AS ({WIKI}), b AS (SELECT doc_id, slug, {STALE_BODY} AS body FROM wiki) SELECT slug, md5(body) AS hash FROM b WHERE doc_id % 4 = 0 OR doc_id % 5 = 0 OR doc_id % 7 = 0",
-    "byte_embeddings": "SELECT conv_id, turn, CASE WHEN coalesce(text, '') = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS norm FROM conversations",
+    "byte_embeddings": """WITH b AS (SELECT conv_id, turn, CAST('0x' || unnest(regexp_extract_all(hex(encode(coalesce(text, ''))), '..')) AS INTEGER) % 16 AS dim FROM conversations),
+c AS (SELECT conv_id, turn, dim, count(*) AS n FROM b GROUP BY ALL), z AS (SELECT conv_id, turn, sqrt(sum(n * n)) AS z FROM c GROUP BY ALL)
+SELECT conv_id, turn, CAST(dim AS INTEGER) AS dim, round(CAST(CAST(n / z AS FLOAT) AS DOUBLE), 4) AS value FROM c JOIN z USING (conv_id, turn)""",
     "token_sets": f"WITH {DOC_SETS} SELECT doc_id, len(t) AS tokens, list_min(t) AS first, list_max(t) AS last FROM sets",
     "distinct_tokens": f"WITH {DOC_SETS} SELECT token, count(*) AS docs FROM (SELECT unnest(t) AS token FROM sets) GROUP BY token",
     "near_duplicates": f"WITH sets AS (SELECT doc_id AS k, {TOKENS.format('text')} AS t FROM documents), {JOINED.format(0.6, 20)} SELECT a, b, round(s, 6) AS similarity FROM similars",
-    "conflicting_claims": f"""WITH sets AS (SELECT ('conv-' || CAST(conv_id AS STRING), turn) AS k, {TOKENS.format('text')} AS t FROM conversations WHERE role = 'user'), {JOINED.format(0.3, 1)}
+    "conflicting_claims": f"""WITH sets AS (SELECT ('conv-' || CAST(conv_id AS STRING), turn) AS k, {TOKENS.format('text')} AS t FROM conversations), {JOINED.format(0.25, 1)}
 SELECT a[1] AS slug_a, a[2] AS idx_a, b[1] AS slug_b, b[2] AS idx_b, round(s, 6) AS similarity FROM similars ORDER BY similarity DESC, slug_a, idx_a, slug_b, idx_b LIMIT 50""",
-    "link_suggestions": f"""WITH {EDGES}, sets AS (SELECT slug AS k, {TOKENS.format('content')} AS t FROM wiki), {JOINED.format(0.6, 1)}
-SELECT a, b, round(s, 6) AS score FROM similars WHERE NOT EXISTS (SELECT 1 FROM edges WHERE (src = a AND dst = b) OR (src = b AND dst = a)) ORDER BY score DESC, a, b LIMIT 20""",
+    "link_suggestions": f"""WITH {EDGES}, sets AS (SELECT slug AS k, coalesce(lower(project), '') AS p, string_split(tags, ', ') AS g, {TOKENS.format('content')} AS t FROM parsed WHERE slug <> 'index'),
+words AS (SELECT k, unnest(t) AS w FROM sets), common AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM words a JOIN words b ON a.w = b.w AND a.k < b.k GROUP BY ALL),
+pairs AS (SELECT x.k AS a, y.k AS b, coalesce(c, 0) / greatest(len(x.t) + len(y.t) - coalesce(c, 0), 1) AS j, x.p = y.p AND x.p <> '' AS same, len(list_filter(list_intersect(x.g, y.g), lambda v: v <> '')) AS shared
+  FROM sets x JOIN sets y ON x.k < y.k LEFT JOIN common ON a = x.k AND b = y.k)
+SELECT a, b, round(j + CASE WHEN same THEN 0.15 ELSE 0 END + least(shared * 0.05, 0.2), 6) AS score FROM pairs WHERE (j > 0 OR same OR shared > 0)
+AND j + CASE WHEN same THEN 0.15 ELSE 0 END + least(shared * 0.05, 0.2) >= 0.15 AND (a, b) NOT IN (SELECT (least(src, dst), greatest(src, dst)) FROM edges) ORDER BY score DESC, a, b LIMIT 20""",
     "links_legacy": f"WITH wiki AS ({WIKI}) SELECT slug, array_to_string({LEGACY.format('content')}, ',') AS links FROM wiki",
     "links_wiki": f"WITH wiki AS ({WIKI}) SELECT slug, array_to_string({BRACKETS.format('content')}, ',') AS links FROM wiki",
     "edges": f"WITH {EDGES} SELECT src, dst, kind FROM edges",
@@ -142,8 +156,8 @@ UNION ALL SELECT 'broken_links', count(*) FROM edges WHERE dst NOT IN (SELECT sl
     "related_pages": f"""WITH {EDGES}, o AS (SELECT dst AS slug, kind FROM edges WHERE src = 'doc-21'), i AS (SELECT src AS slug, kind FROM edges WHERE dst = 'doc-21'),
 r AS (SELECT slug, CASE WHEN o.kind IS NOT NULL AND i.kind IS NOT NULL THEN 0 WHEN coalesce(o.kind, i.kind) = 'related' THEN 1 WHEN o.kind IS NOT NULL THEN 2 ELSE 3 END AS rank FROM o FULL JOIN i USING (slug))
 SELECT rank, CASE rank WHEN 0 THEN 'bidirectional' WHEN 1 THEN 'declared' WHEN 2 THEN 'links-to' ELSE 'linked-from' END AS relation, slug FROM r""",
-    "href_graph": f"""WITH h AS (SELECT {HOST.format('url')} AS src, unnest(regexp_extract_all(html, 'href="(https?://[^"]+)"', 1)) AS u FROM pages)
-SELECT src, {HOST.format('u')} AS dst, count(*) AS links FROM h WHERE src <> {HOST.format('u')} GROUP BY ALL""",
+    "href_graph": f"""WITH h AS (SELECT {HOST.format('url')} AS src, unnest(regexp_extract_all(html, 'href="((?:https?:/)?/[^"?#]*)', 1)) AS u FROM pages)
+SELECT src, CASE WHEN starts_with(u, '/') THEN src || u ELSE regexp_extract(u, '://(.*)$', 1) END AS dst, count(*) AS links FROM h GROUP BY ALL""",
     "front_matter_fields": f"WITH {PARSED} SELECT slug, has_front, type, project, status, replace(tags, ', ', ',') AS tags, replace(sources, ', ', ',') AS sources, replace(related, ', ', ',') AS related FROM parsed",
     "front_matter_yaml": f"WITH {PARSED} SELECT slug, type, project, status, CASE WHEN has_front THEN replace(tags, ', ', ',') END AS tags FROM parsed",
     "front_matter_strip": f"WITH wiki AS ({WIKI}) SELECT slug, md5({STALE_BODY}) AS body_md5 FROM wiki",
@@ -167,16 +181,26 @@ UNION ALL SELECT 'raw_without_pages', 'raw-' || CAST(range AS STRING) FROM range
 UNION ALL SELECT 'decision_without_rationale', slug FROM wiki WHERE regexp_matches(lower(slug), 'decisao|decision|adr') AND NOT ({_rationale()})
 UNION ALL SELECT 'similar_pages', a FROM similars)
 SELECT "check", count(*) AS findings, min(slug) AS first_slug FROM f GROUP BY "check" """,
-    "index_consistency": "SELECT count(*) FILTER (WHERE doc_id % 3 <> 0) AS pages, count(*) FILTER (WHERE doc_id % 3 = 0) AS raws, count(*) AS indexed FROM documents",
+    "index_consistency": f"""WITH wiki AS ({WIKI}), held AS (SELECT CASE WHEN doc_id % 50 = 1 THEN 'gone-' ELSE '' END || slug AS slug, md5(content || CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE '' END) AS hash FROM wiki WHERE doc_id % 10 <> 4),
+d AS (SELECT slug, CASE WHEN hash IS NULL THEN 'missing' WHEN content IS NULL THEN 'extra' WHEN md5(content) <> hash THEN 'stale' END AS state FROM wiki FULL JOIN held USING (slug))
+SELECT slug, state FROM d WHERE state IS NOT NULL""",
     "claims_rows": f"WITH {CLAIM_LINES} SELECT slug, idx, text, source, confidence, last_verified FROM claims",
     "claims_parsed": f"WITH {CLAIM_LINES} SELECT slug, count(*) AS claims, count(source) AS sources, count(last_verified) AS verified FROM claims GROUP BY slug",
     "claims_without_source": f"WITH {CLAIM_LINES} SELECT slug, idx FROM claims WHERE source IS NULL",
-    "claim_verified": f"WITH wiki AS ({WIKI}) SELECT slug, '2025-05-05' AS last_verified FROM wiki WHERE doc_id % 8 <> 1",
-    "section_list": f"WITH wiki AS ({WIKI}) SELECT slug, CAST(1 + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 20 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 8 = 1 THEN 0 ELSE 1 END AS BIGINT) AS headings, CASE WHEN doc_id % 2 = 0 OR doc_id % 8 <> 1 THEN 2 ELSE 1 END AS deepest FROM wiki",
-    "section_edit": f"WITH wiki AS ({WIKI}) SELECT slug, doc_id % 8 <> 1 AS ok, doc_id % 8 <> 1 AS replaced FROM wiki",
+    "claim_verified": f"""WITH {CLAIM_LINES} SELECT slug, idx, text, CASE WHEN idx = 1 THEN '2025-05-05' ELSE last_verified END AS last_verified FROM claims
+UNION ALL SELECT slug, NULL, NULL, NULL FROM wiki WHERE slug NOT IN (SELECT slug FROM claims)""",
+    "section_list": f"""WITH wiki AS ({WIKI}), parts AS (SELECT slug, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS n FROM wiki),
+fronts AS (SELECT slug, CASE WHEN bool_or(n = 0 AND line = '---') THEN coalesce(min(n) FILTER (WHERE n > 0 AND line = '---'), -1) ELSE -1 END AS e FROM parts GROUP BY slug),
+marked AS (SELECT slug, n, line, regexp_matches(line, '^ {{0,3}}(```|~~~)') AS fence, sum(CASE WHEN regexp_matches(line, '^ {{0,3}}(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY slug ORDER BY n) AS fences FROM parts JOIN fronts USING (slug) WHERE n > e)
+SELECT slug, CAST(n AS INTEGER) AS line, CAST(length(regexp_extract(line, '^ {{0,3}}(#{{1,6}})', 1)) AS INTEGER) AS level, rtrim(rtrim(trim(regexp_replace(line, '^ {{0,3}}#{{1,6}}', '')), '#')) AS title
+FROM marked WHERE fences % 2 = 0 AND NOT fence AND regexp_matches(line, '^ {{0,3}}#{{1,6}}([ \\t]|$)')""",
+    "section_edit": f"""WITH wiki AS ({WIKI}) SELECT slug, contains(content, '## Claims') AS ok,
+CASE WHEN contains(content, '## Claims') THEN md5(split_part(content, '## Claims', 1) || '## Claims' || chr(10) || chr(10) || '- none' || chr(10)) END AS replaced,
+CASE WHEN contains(content, '## See also') THEN md5(replace(content, '## See also' || chr(10) || '- [[' || slug || ']]' || chr(10), '## See also' || chr(10) || chr(10) || '- [[' || slug || ']]' || chr(10) || chr(10) || '- more' || chr(10) || chr(10))) END AS extended FROM wiki""",
     "chunk_spans": "SELECT doc_id, strlen(text) AS bytes, CASE WHEN trim(text) <> '' THEN CAST(0 AS BIGINT) END AS first, CASE WHEN trim(text) <> '' THEN strlen(text) END AS last, true AS fits FROM documents",
-    "diff_counts": f"WITH wiki AS ({WIKI}) SELECT slug, 1 AS added, 0 AS removed FROM wiki",
-    "migrate_links": f"WITH wiki AS ({WIKI}) SELECT slug, CAST(len({LEGACY.format('content')}) AS INTEGER) AS links, CAST(0 AS BIGINT) AS \"left\" FROM wiki",
+    "diff_counts": f"""WITH wiki AS ({WIKI}), l AS (SELECT slug, regexp_extract(content, '\\n(See \\[\\[[^\\n]*)', 1) AS line FROM wiki)
+SELECT slug, 2 AS added, 1 AS removed, '-' || line || chr(10) || '+Look at' || substr(line, 4) || chr(10) || '+one more line' AS changed FROM l""",
+    "migrate_links": f"WITH wiki AS ({WIKI}) SELECT slug, CAST(len({LEGACY.format('content')}) AS INTEGER) AS links, md5(regexp_replace(content, '(^|[^(])wiki://page/([A-Za-z0-9._-]*[A-Za-z0-9_-])', '\\1[[\\2]]', 'g')) AS content_md5 FROM wiki",
     "proposal_conflicts": "SELECT 'p-' || CAST(doc_id AS STRING) AS proposal_id, CASE WHEN doc_id % 5 = 0 THEN 'closed' WHEN doc_id % 3 = 0 THEN 'conflict' ELSE 'applied' END AS outcome FROM documents",
     "rawindex_upsert": "SELECT 'u' || CAST(user_id AS STRING) AS source_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id",
     "page_upsert": f"WITH wiki AS ({WIKI}) SELECT doc_id, slug, CASE WHEN doc_id % 10 = 3 THEN 'changed' ELSE md5(content) END AS hash FROM wiki",
@@ -200,4 +224,13 @@ FROM d JOIN msg USING (user_id, session) GROUP BY user_id, session""",
 k AS (SELECT 'page_deleted' AS kind, a AS key FROM f WHERE t IN ('view', 'error') UNION ALL SELECT 'page_created', b FROM f WHERE t = 'view' UNION ALL SELECT 'page_created', a FROM f WHERE t = 'signup' UNION ALL SELECT 'page_updated', a FROM f WHERE t = 'purchase')
 SELECT kind, key, count(*) AS events FROM k GROUP BY ALL""",
     "dirty_index_bursts": f"WITH all_rows AS (WITH {CHANGES} SELECT *, 1 AS one FROM rows WHERE kind LIKE 'page_%'), rows AS (SELECT * FROM all_rows), {SESSIONS.format('one', '30 MINUTE')} SELECT CAST(floor(epoch(min(ts))) AS BIGINT) AS first_s, count(*) AS events FROM numbered GROUP BY session",
+    "page_updates": f"""WITH {UPDATED} SELECT slug, CASE WHEN ok THEN md5(content) END AS content_md5, ok, k = 2 AS is_new,
+CASE WHEN ok AND doc_id % 2 = 0 THEN '[' || CASE k WHEN 0 THEN 'overwrite' WHEN 3 THEN 'overwrite section ''Claims''' ELSE 'append' END || '] `' || slug || '`: because' END AS log_entry FROM updated""",
+    "page_proposals": f"""WITH {UPDATED} SELECT slug || '-20250601120000-' || substr(md5(slug || ':1748779200000000000'), 1, 6) AS proposal_id, slug, CASE WHEN doc_id % 2 = 0 THEN 'because' END AS reason,
+base_hash IS NOT NULL AS base_page_exists, base_hash, 'pending' AS status FROM updated WHERE ok""",
+    "metadata_edits": f"WITH {PARSED} SELECT slug, type, 'done' AS status, CASE WHEN has_front THEN split_part(tags, ', ', 2) || ',new' ELSE 'new' END AS tags FROM parsed",
+    "semantic_snippets": f"""WITH {SEMANTIC.format(10)} SELECT slug, round(score, 5) AS score, substr(regexp_replace(coalesce(text, ''), '[^ -~]', '?', 'g'), CAST(best_index % 9 * 40 + 1 AS INTEGER), 40) AS snippet
+FROM semantic JOIN documents ON slug = 'doc-' || CAST(doc_id AS STRING)""",
+    "ingest_sources": f"""WITH kept AS (SELECT url, arg_max(html, page_id) AS html, max(page_id) AS page_id FROM pages WHERE url IS NOT NULL GROUP BY url)
+SELECT md5(url) AS source_id, coalesce({MIME}, 'text/html') AS mime_type, strlen(html) AS size_bytes FROM kept WHERE page_id % 5 <> 0""",
 }

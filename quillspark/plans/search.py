@@ -16,15 +16,8 @@ OVER_FETCH = 3
 def lexical_search(docs: DataFrame, query: str, limit: int, kind: str | None = None) -> DataFrame:
     """Hits of a query text; blank texts list all documents with score 1."""
     tree = parser.parsed(query)
-    words = parser.terms(tree)
-    matching = docs.where(parser.predicate(tree)).select("uri") if tree.kind != "all" else None
-    hits = lexical.bm25(docs, words) if words else docs.select("uri", F.lit(1.0).alias("score"))
-    if matching is not None:
-        hits = hits.join(matching, "uri", "left_semi")
-    found = docs.join(hits, "uri")
-    if kind is not None:
-        found = found.where(F.col("kind") == kind)
-    return found.select("uri", "kind", "title", "score", lexical.snippet(F.col("content")).alias("snippet")).orderBy(F.desc("score"), "uri").limit(limit)
+    matching = parser.predicate(tree) if tree.kind != "all" else None
+    return lexical.search(docs, parser.terms(tree), limit, kind, matching=matching)
 
 
 def hybrid(pages: DataFrame, lexical_hits: DataFrame, semantic_hits: DataFrame, k: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import chunking, claims, diffing, frontmatter, rewrite, sections, text
-from .operators import fusion, graph, lexical, lint, metadata, mutation, similarity, vectors
+from .operators import fusion, graph, lexical, lint, metadata, mutation, similarity, updates, vectors
 from .plans import parser, search
 from .sources.tables import index_documents, table, wiki
 from .streaming import events as ev
@@ -81,7 +81,7 @@ def phrase_match(spark, sf_dir):
 @query
 def boolean_must_not(spark, sf_dir):
     docs = index_documents(spark, sf_dir)
-    return docs.where(parser.predicate(parser.parsed("+the -with content:and"))).select("uri")
+    return docs.where(parser.predicate(parser.parsed("+the -content:from"))).select("uri")
 
 
 @query
@@ -157,9 +157,10 @@ def content_hash_gate(spark, sf_dir):
 
 @query
 def byte_embeddings(spark, sf_dir):
+    """The vector's dimensions above 0."""
     embed = vectors.embedder(vectors.ByteHistogram(16))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", embed("text").alias("v"))
-    return rows.select("conv_id", "turn", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 3).alias("norm"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(embed("text")).alias("dim", "value"))
+    return rows.where("value > 0").select("conv_id", "turn", "dim", F.round(F.col("value").cast("double"), 4).alias("value"))
 
 
 # --- tokens and similarity ------------------------------------------------------------------
@@ -269,10 +270,11 @@ def related_pages(spark, sf_dir):
 
 @query
 def href_graph(spark, sf_dir):
-    """Links among hosts of the web pages."""
+    """Links of the web pages: host, and host with path that it links; a link without host stays on its own."""
     host = lambda c: F.lower(F.regexp_extract(c, "://([^/?#]+)", 1))
-    rows = table(spark, sf_dir, "pages").select(host(F.col("url")).alias("src"), F.explode(F.regexp_extract_all("html", F.lit('href="(https?://[^"]+)"'), F.lit(1))).alias("h"))
-    return rows.select("src", host(F.col("h")).alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
+    rows = table(spark, sf_dir, "pages").select(host(F.col("url")).alias("src"), F.explode(F.regexp_extract_all("html", F.lit('href="((?:https?:/)?/[^"?#]*)'), F.lit(1))).alias("h"))
+    dst = F.when(F.col("h").startswith("/"), F.concat("src", "h")).otherwise(F.regexp_extract("h", "://(.*)$", 1))
+    return rows.select("src", dst.alias("dst")).groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
 # --- metadata and catalogue -----------------------------------------------------------------
@@ -367,8 +369,10 @@ def lint_all(spark, sf_dir):
 
 @query
 def index_consistency(spark, sf_dir):
-    docs = index_documents(spark, sf_dir)
-    return docs.agg(F.sum(F.when(F.col("kind") == "page", 1).otherwise(0)).alias("pages"), F.sum(F.when(F.col("kind") == "raw", 1).otherwise(0)).alias("raws"), F.count("*").alias("indexed"))
+    """Entries of an index against the pages: every tenth is left out, every seventh is of older text, and some have no page."""
+    pages = wiki(spark, sf_dir).select("doc_id", "slug", "content")
+    held = pages.where("doc_id % 10 <> 4").select(F.when(F.col("doc_id") % 50 == 1, F.concat(F.lit("gone-"), "slug")).otherwise(F.col("slug")).alias("slug"), F.md5(F.when(F.col("doc_id") % 7 == 0, F.concat("content", F.lit("old"))).otherwise(F.col("content"))).alias("hash"))
+    return lint.index_drift(pages, held)
 
 
 # --- claims, sections, chunks, diffs, links ---------------------------------------------------
@@ -394,28 +398,25 @@ def claims_without_source(spark, sf_dir):
 
 @query
 def claim_verified(spark, sf_dir):
-    """Every page's first claim checked on a date: the date stands there afterwards; a page without claims has none."""
-
-    @F.pandas_udf("string")
-    def verify(content):
-        return content.map(lambda x: claims.set_last_verified(x, 0, "2025-05-05") if claims.parse(x) else None)
-
-    pages = wiki(spark, sf_dir).select("slug", verify("content").alias("content"))
-    bare = pages.where("content is null").select("slug", F.lit(None).cast("string").alias("last_verified"))
-    return metadata.claim_rows(pages).where("idx = 1").select("slug", "last_verified").unionByName(bare)
+    """The claims of every page after its first one was checked on a date; a page without claims has an error instead."""
+    rows = wiki(spark, sf_dir).select("slug", updates.verified("content", F.lit(0), F.lit("2025-05-05")).alias("e")).select("slug", "e.*")
+    done = metadata.claim_rows(rows.where("error is null")).select("slug", F.col("idx").cast("long").alias("idx"), "text", "last_verified")
+    bare = rows.where("error is not null").select("slug", F.lit(None).cast("long").alias("idx"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("last_verified"))
+    return done.unionByName(bare)
 
 
 @query
 def section_list(spark, sf_dir):
-    rows = wiki(spark, sf_dir).select("slug", F.explode(sections.sections("content")).alias("s"))
-    return rows.groupBy("slug").agg(F.count("*").alias("headings"), F.max("s.level").alias("deepest"))
+    """All headings, with their line from 0, level and title."""
+    return wiki(spark, sf_dir).select("slug", F.inline(sections.sections("content")))
 
 
 @query
 def section_edit(spark, sf_dir):
-    """The claims section replaced; pages without one give an error."""
-    rows = wiki(spark, sf_dir).select("slug", sections.edited("content", F.lit("Claims"), F.lit("- none"), F.lit(False)).alias("e"))
-    return rows.select("slug", F.col("e.error").isNull().alias("ok"), F.coalesce(F.contains(F.col("e.content"), F.lit("## Claims\n\n- none\n")), F.lit(False)).alias("replaced"))
+    """The claims section replaced, and the section of further pages extended; pages without one give an error."""
+    edit = lambda title, new, append: sections.edited("content", F.lit(title), F.lit(new), F.lit(append))
+    rows = wiki(spark, sf_dir).select("slug", edit("Claims", "- none", False).alias("r"), edit("see also", "- more", True).alias("a"))
+    return rows.select("slug", F.col("r.error").isNull().alias("ok"), F.md5("r.content").alias("replaced"), F.md5("a.content").alias("extended"))
 
 
 @query
@@ -427,15 +428,61 @@ def chunk_spans(spark, sf_dir):
 
 @query
 def diff_counts(spark, sf_dir):
-    """Every page against itself with one line more."""
-    rows = wiki(spark, sf_dir).select("slug", diffing.compared("content", F.concat("content", F.lit("one more line\n"))).alias("d"))
-    return rows.select("slug", "d.added", "d.removed")
+    """Every page against itself with one line changed and one more: counts, and the changed lines of the unified diff."""
+    new = F.concat(F.replace(F.col("content"), F.lit("\nSee [["), F.lit("\nLook at [[")), F.lit("one more line\n"))
+    rows = wiki(spark, sf_dir).select("slug", diffing.compared("content", new).alias("d"))
+    changed = F.array_join(F.filter(F.split("d.diff", "\n"), lambda x: x.rlike("^[+-]")), "\n")
+    return rows.select("slug", "d.added", "d.removed", changed.alias("changed"))
 
 
 @query
 def migrate_links(spark, sf_dir):
     rows = wiki(spark, sf_dir).select("slug", rewrite.rewritten("content").alias("r"))
-    return rows.select("slug", F.col("r.links").alias("links"), F.size(text.legacy_links(F.col("r.content"))).cast("long").alias("left"))
+    return rows.select("slug", F.col("r.links").alias("links"), F.md5("r.content").alias("content_md5"))
+
+
+def _edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages overwritten, extended and made, and sections replaced."""
+    kind = F.col("doc_id") % 5
+    rows = wiki(spark, sf_dir).select("doc_id", "slug").where("doc_id % 5 < 4")
+    return rows.select(
+        F.when(kind == 2, F.concat(F.lit("new-"), "slug")).otherwise(F.col("slug")).alias("slug"), F.when((kind == 1) | (kind == 2), "append").otherwise("overwrite").alias("mode"),
+        F.when(kind == 3, "Claims").alias("section"), F.concat(F.lit("New text "), F.col("doc_id").cast("string")).alias("content"), F.when(F.col("doc_id") % 2 == 0, "because").alias("rationale"),
+    )
+
+
+@query
+def page_updates(spark, sf_dir):
+    """What the edits make of the pages, with dates and log entries."""
+    found = updates.update_pages(wiki(spark, sf_dir), _edits(spark, sf_dir), "2025-06-01")
+    return found.select("slug", F.md5("content").alias("content_md5"), F.col("error").isNull().alias("ok"), "is_new", "log_entry")
+
+
+@query
+def page_proposals(spark, sf_dir):
+    """Proposals made from the same edits."""
+    at = F.timestamp_seconds(F.lit(1748779200))
+    found = updates.propose(wiki(spark, sf_dir), _edits(spark, sf_dir), "2025-06-01", at)
+    return found.select("proposal_id", "slug", "reason", "base_page_exists", "base_hash", "status")
+
+
+@query
+def metadata_edits(spark, sf_dir):
+    """Front matter after edits: the status set, one tag added and the language's removed."""
+    js = lambda key, value: F.to_json(F.create_map(F.lit(key), value))
+    rows = wiki(spark, sf_dir).select("slug", updates.with_metadata("content", F.lit('{"status": "done"}'), F.lit('{"tags": ["new"]}'), js("tags", F.array("lang"))).alias("e"))
+    fields = metadata.with_fields(rows.select("slug", F.col("e.content").alias("content")))
+    return fields.select("slug", "type", "status", F.array_join("tags", ",").alias("tags"))
+
+
+@query
+def semantic_snippets(spark, sf_dir):
+    """The text of the best chunk of the best pages; a page's chunks are 40 characters each here, ASCII letters only."""
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", "?")
+    pages = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("slug"), plain.alias("content"))
+    spans = _chunks(spark, sf_dir).select("slug", "index", (F.col("index") % 9 * 40).cast("int").alias("start"), (F.col("index") % 9 * 40 + 40).cast("int").alias("end"))
+    best = vectors.semantic_search(_chunks(spark, sf_dir), _query_vector(spark, sf_dir), 10)
+    return updates.best_snippets(best, spans, pages).select("slug", F.round("score", 5).alias("score"), "snippet")
 
 
 # --- mutation -------------------------------------------------------------------------------
@@ -465,7 +512,9 @@ def page_upsert(spark, sf_dir):
 
 @query
 def ingest_sources(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select(F.col("url").alias("uri"), F.col("html").alias("content"), F.lit("html").alias("type"), text.mime_of(F.regexp_replace("url", "[?#].*$", "")).alias("mime"), "page_id").dropDuplicates(["uri"])
+    """One row for each url, that of the last page; every fifth page's url is held already."""
+    rows = table(spark, sf_dir, "pages").where("url is not null").groupBy(F.col("url").alias("uri")).agg(F.max_by("html", "page_id").alias("content"), F.max("page_id").alias("page_id"))
+    rows = rows.select("uri", "content", F.lit("html").alias("type"), text.mime_of(F.regexp_replace("uri", "[?#].*$", "")).alias("mime"), "page_id")
     held = rows.where("page_id % 5 = 0").select(F.md5("uri").alias("source_id"))
     return mutation.ingest(rows, held).select("source_id", "mime_type", F.col("size_bytes").cast("long").alias("size_bytes"))
 
@@ -548,10 +597,11 @@ def stream_sessions(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir) if not _is_folder(spark, sf_dir) else spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
     found = ev.quiet_sessions(rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour"), "2 hours", "user_id")
-    name = f"sessions_{abs(hash(sf_dir)) % 10**8}"
-    running = found.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", _scratch(spark)).trigger(availableNow=True).start()
+    path = _scratch(spark)
+    put = lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/sessions")  # the last batch has all; none of it comes to the driver
+    running = found.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.table(name).select("user_id", F.unix_seconds("first_ts").alias("first_s"), "events")
+    return spark.read.parquet(f"{path}/sessions").select("user_id", F.unix_seconds("first_ts").alias("first_s"), "events")
 
 
 @query
@@ -574,8 +624,12 @@ def _is_folder(spark: SparkSession, sf_dir: str) -> bool:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder in the shared one; a local one only where none is set."""
+    """A new folder in the shared one; a local one only where none is set and the master is local."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/quillspark-{uuid.uuid4().hex}"

@@ -33,7 +33,7 @@ SELECT doc_id, lang, source, text, slug,
     || '  - Confidence: ' || CASE WHEN doc_id % 2 = 0 THEN 'high' ELSE 'low' END || chr(10)
     || '- Second claim of ' || slug || chr(10) || '  - Last verified: 2024-01-0' || CAST(1 + doc_id % 9 AS STRING) || chr(10) END AS content
 FROM (SELECT doc_id, lang, source, text, {_slug("doc_id")} AS slug, {_slug("(doc_id * 5) % (n + 100)")} AS rel,
-        {_slug("(doc_id * 7) % (n + 50)")} AS wl, {_slug("(doc_id * 3) % n")} AS ll
+        {_slug("CASE WHEN doc_id % 4 = 1 THEN 0 ELSE (doc_id * 7) % (n + 50) END")} AS wl, {_slug("CASE WHEN doc_id % 4 = 1 THEN 0 ELSE (doc_id * 3) % n END")} AS ll
       FROM (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text, (SELECT count(*) FROM {{documents}}) AS n FROM {{documents}}) d) w
 """
 

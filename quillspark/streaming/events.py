@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import commit_description, commit_message
 from ..operators.mutation import apply_changes
@@ -43,7 +44,17 @@ def dirties_index(kind: Column, key: Column) -> Column:
 
 
 def quiet_sessions(events: DataFrame, gap: str, *keys: str) -> DataFrame:
-    """Bursts of events parted by a quiet gap: start, end and events."""
+    """Bursts of events parted by a quiet gap: start, end and events.
+
+    Without keys, a batch is cut into bursts within each day first, and only these meet in one
+    task, where those that go on over midnight are joined.
+    """
+    if not keys and not events.isStreaming:
+        parts = quiet_sessions(events.withColumn("_day", F.to_date("ts")), gap, "_day")
+        order = Window.orderBy("first_ts", "last_ts")
+        new = F.coalesce(F.col("first_ts") >= F.lag("last_ts").over(order) + F.expr(f"INTERVAL {gap}"), F.lit(True))
+        numbered = parts.withColumn("_n", new.cast("int")).withColumn("_burst", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        return numbered.groupBy("_burst").agg(F.sum("events").alias("events"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")).drop("_burst")
     session = F.session_window("ts", gap)
     found = events.groupBy(*keys, session).agg(F.count("*").alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     return found.drop("session_window")

@@ -29,10 +29,10 @@ PROPOSAL = "proposal_id string, slug string, reason string, created_at string, b
 
 
 def _texts(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("mtime"))
+    return reader.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("mtime"))
 
 
 def pages(spark: SparkSession, root: str) -> DataFrame:
@@ -100,7 +100,7 @@ def resources(page_rows: DataFrame, source_rows: DataFrame) -> DataFrame:
 def read_uri(spark: SparkSession, root: str, uri: str) -> DataFrame:
     """One column ``value`` with the text behind a URI; ValueError where nothing can be read by it."""
     if uri == "wiki://log":
-        return spark.read.option("wholetext", True).text(f"{root}/log.md")
+        return spark.read.text(f"{root}/log.md", wholetext=True)
     if uri == "wiki://list":
         return pages(spark, root).select(F.concat(F.lit("wiki://page/"), "slug").alias("value")).orderBy("value")
     if uri in ("wiki://index", "wiki://rawindex"):

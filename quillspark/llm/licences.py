@@ -23,6 +23,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,12 +130,23 @@ def match_lines(lines: DataFrame, templates: dict[str, str], threshold: float) -
     return match(_vectors(lines.select("line").distinct(), "line"), "line", templates, threshold)
 
 
-def bound_of(spark: SparkSession, templates: dict[str, str], threshold: float) -> tuple[Callable[[Column], Column], Column] | None:
-    """Whether a text can reach the threshold (exactly none that does is left out), and the words of which it has one then.
+class Bound(NamedTuple):
+    """Exact bounds of a text's cosines: none that reaches the threshold is left out."""
 
-    Two bounds. Frequent words are chosen so that in no template the terms made of them alone
-    weigh ``threshold`` or more: without any other template word the cosine stays below. For the
-    rest, products with each template are whole, and each unknown term counts once in the norm.
+    reaches: Callable[[Column], Column]  #: whether a text can reach the threshold
+    marked: Callable[[Column], Column]  #: a line with what bounds the windows it is in
+    fits: Callable[[Column], Column]  #: whether a window of marked lines can reach the threshold
+
+
+def bound_of(spark: SparkSession, templates: dict[str, str], threshold: float) -> Bound | None:
+    """Bounds for these templates, null without any term.
+
+    Frequent words are chosen so that in no template the terms made of them alone weigh
+    ``threshold`` or more: without any other template word (a hot line has one) the cosine stays
+    below. A line's gain is the sum of its terms' greatest products with any template, rounded
+    up; a window's dot product is at most its lines' gains and one pair at each line end, and its
+    norm at least that of the unknown terms of any of its lines. For texts that pass these,
+    products with each template are whole, and each unknown term counts once in the norm.
     """
     vectors, unknown = template_vectors(spark, templates)
     found = vectors.collect()
@@ -151,7 +163,7 @@ def bound_of(spark: SparkSession, templates: dict[str, str], threshold: float) -
                 sums[r.licence] += r.w * r.w
         if max(sums.values()) < least:
             common = more
-    rare = F.array(*[F.lit(w) for w in sorted({w for r in found for w in r.term.split()} - common)])
+    rare = sorted({w for r in found for w in r.term.split()} - common)
     weights: dict[str, dict] = {r.term: {"idf": r.idf, "p": [0.0] * len(names)} for r in found}
     for r in found:
         weights[r.term]["p"][names[r.licence]] = r.w * r.idf
@@ -171,25 +183,49 @@ def bound_of(spark: SparkSession, templates: dict[str, str], threshold: float) -
 
         return _let(terms(text), lambda every: _let(F.filter(every, lambda t: t.isin(known)), lambda own: F.coalesce(bound(every, own), F.lit(False))))
 
-    return reaches, rare
+    gains: dict[str, float] = {}
+    for r in found:
+        gains[r.term] = max(gains.get(r.term, 0.0), r.w * r.idf)
+    levels: dict[int, list[str]] = {}
+    for term, gain in sorted(gains.items()):
+        levels.setdefault(math.ceil(math.log(gain, 1.25)), []).append(term)
+    edge = max((g for t, g in gains.items() if " " in t), default=0.0)  # of a pair over a line end
+
+    def gain_of(term: Column) -> Column:
+        out = F.lit(0.0)
+        for level in sorted(levels, reverse=True):
+            out = F.when(term.isin(levels[level]), 1.25**level * (1 + 1e-9)).otherwise(out)
+        return out
+
+    def marked(line: Column) -> Column:
+        def mark(every: Column, own: Column) -> Column:
+            gain = F.aggregate(own, F.lit(0.0), lambda s, t: s + gain_of(t))
+            others = F.size(F.array_distinct(every)) - F.size(F.array_distinct(own))
+            return F.struct(line.alias("line"), F.exists(own, lambda t: t.isin(rare)).alias("hot"), gain.alias("gain"), others.alias("others"))
+
+        return _let(terms(line), lambda every: _let(F.filter(every, lambda t: t.isin(known)), lambda own: mark(every, own)))
+
+    def fits(window: Column) -> Column:
+        dot = F.aggregate(window.gain, edge * (F.size(window) - 1), lambda s, g: s + g)
+        return F.exists(window.hot, lambda x: x) & (dot >= (threshold - 1e-5) * unknown * F.sqrt(F.array_max(window.others)))
+
+    return Bound(reaches, marked, fits)
 
 
 def candidates(text: Column, spark: SparkSession, templates: dict[str, str], threshold: float) -> Column:
     """The different lines, and windows of up to ``WINDOW`` lines, that can reach the threshold."""
-    own = bound_of(spark, templates, threshold)
-    if own is None:
+    bound = bound_of(spark, templates, threshold)
+    if bound is None:
         return F.array().cast("array<string>")
-    reaches, rare = own
     lines = F.filter(F.transform(F.split(text, r"[\n\r]+"), lambda x: F.trim(x)), lambda x: x.rlike(r"[\p{L}\p{N}]"))
-    marked = F.transform(lines, lambda x: F.struct(x.alias("line"), F.arrays_overlap(F.split(F.lower(x), PARTING), rare).alias("hot")))
 
     def windows(m: Column) -> Column:
         sizes = lambda i: F.sequence(F.lit(1), F.least(F.lit(WINDOW), F.size(m) - i + 1))
-        from_line = lambda i: F.filter(F.transform(sizes(i), lambda k: F.slice(m, i, k)), lambda w: F.exists(w, lambda x: x.hot))
+        from_line = lambda i: F.filter(F.transform(sizes(i), lambda k: F.slice(m, i, k)), bound.fits)
         joined = F.transform(F.flatten(F.transform(F.sequence(F.lit(1), F.size(m)), from_line)), lambda w: F.array_join(w.line, " "))
-        return F.when(F.exists(m, lambda x: x.hot), F.array_distinct(F.filter(joined, reaches)))
+        return F.when(F.exists(m, lambda x: x.hot), F.array_distinct(F.filter(joined, bound.reaches)))
 
-    return _let(marked, windows)
+    return _let(F.transform(lines, bound.marked), windows)
 
 
 def scan(files: DataFrame, threshold: float = 0.5, templates: dict[str, str] | None = None, texts: dict[str, str] | None = None, licence_names: str = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$") -> DataFrame:
@@ -204,7 +240,7 @@ def scan(files: DataFrame, threshold: float = 0.5, templates: dict[str, str] | N
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     named = F.coalesce(F.col("path").cast("string").rlike(licence_names), F.lit(False))
     whole = bound_of(spark, templates | texts, threshold)
-    held = F.when(named & whole[0](text), text) if whole else F.lit(None).cast("string")
+    held = F.when(named & whole.reaches(text), text) if whole else F.lit(None).cast("string")
     rows = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), candidates(text, spark, templates, threshold).alias("lines"), held.alias("whole"))
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "licence-rows")
     found = rows.select("row", F.posexplode("lines").alias("pos", "line"))

@@ -134,5 +134,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_license_scan, op2_byte_bpe, op3_url_filter, op4_token_planes, op5_pivot_topk, op6_toxicity, op7_near_dedup, op8_quality, op9_avi_media, op10_mixing)}
 
+
 def oracle_sql() -> dict[str, str]:
     return {"op3_url_filter": OP3_SQL, "op5_pivot_topk": OP5_SQL}

@@ -86,6 +86,40 @@ def test_similarity(spark):
     assert similarity.link_suggestions(full, linked, 0.6).count() == 0
 
 
+def _jaccard(x, y):
+    return len(x & y) / len(x | y) if x | y else 0
+
+
+def test_suggestions_by_levels(spark):
+    """Settled by the prefix join, by the whole candidates, with null tags, and with a focus: equal to brute force."""
+    base = [f"word{i}" for i in range(40)]
+    rows = [(f"p{i:02}", " ".join(base[i % 4 : 30 + i % 7]), "Px" if i % 3 else None, ["t1", "t2"][: i % 3] if i % 5 else None) for i in range(30)]
+    pages = spark.createDataFrame(rows, "slug string, content string, project string, tags array<string>")
+    edge = spark.createDataFrame([("p01", "p08", "body"), ("p09", "p02", "body")], "src string, dst string, kind string")
+    want = []
+    for n, (a, x, p, s) in enumerate(rows):
+        for b, y, q, t in rows[n + 1 :]:
+            score = _jaccard(set(x.split()), set(y.split())) + 0.15 * (p == q == "Px") + min(0.05 * len(set(s or []) & set(t or [])), 0.2)
+            if (a, b) not in {("p01", "p08"), ("p02", "p09")} and score >= 0.15:
+                want.append((-round(score, 6), a, b))
+    show = lambda df: [(-r.score, r.a, r.b) for r in df.collect()]
+    for limit in (3, 400):
+        assert show(similarity.link_suggestions(pages, edge, limit=limit)) == sorted(want)[:limit]
+    turned = sorted((s, "p09", a if b == "p09" else b) for s, a, b in want if "p09" in (a, b))
+    assert show(similarity.link_suggestions(pages, edge, limit=40, focus="p09")) == turned
+
+
+def test_conflicts_among_equal_claims(spark):
+    """Equal claims beyond any limit change nothing: equal to brute force, settled early or not."""
+    texts = ["red green blue cyan", "cyan blue green red", "red green blue grey", "black white brown pink", "red green lilac mauve", "", None]
+    rows = [(f"s{i % 17:02}", i, texts[i % 3] if i % 4 else texts[i % 7]) for i in range(60)]
+    claims = spark.createDataFrame(rows, "slug string, idx int, text string")
+    sets = sorted((s, i, frozenset((t or "").split())) for s, i, t in rows)
+    pairs = [(-round(_jaccard(x, y), 6), a, i, b, j) for n, (a, i, x) in enumerate(sets) for b, j, y in sets[n + 1 :] if _jaccard(x, y) >= 0.25]
+    for limit in (1, 5, 5000):
+        assert [(-r.similarity, r.slug_a, r.idx_a, r.slug_b, r.idx_b) for r in similarity.conflicting_claims(claims, limit=limit).collect()] == sorted(pairs)[:limit]
+
+
 def test_vectors_and_fusion(spark):
     pairs = [([1.0, 0.0], [1.0, 0.0], 1), ([1.0, 0.0], [0.0, 1.0], 0), ([1.0, 0.0], [-1.0, 0.0], -1), ([1.0], [1.0, 0.0], 0), ([], [], 0), ([0.0], [1.0], 0)]
     df = spark.createDataFrame(pairs, "a array<double>, b array<double>, want int")

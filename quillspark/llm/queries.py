@@ -131,6 +131,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .divergence import audit
 
@@ -179,7 +185,7 @@ SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_byte_bpe, op3_url_filter, op4_token_planes, op5_pivot_topk, op6_toxicity, op7_near_dedup, op8_quality, op9_avi_media, op10_mixing, op13_source_divergence)}
+    return {f.__name__: f for f in (op1_license_scan, op2_byte_bpe, op3_url_filter, op4_token_planes, op5_pivot_topk, op6_toxicity, op7_near_dedup, op8_quality, op9_avi_media, op10_mixing, op12_spelling_variants, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,7 +11,7 @@ conversation's path is its row of keys.  Sorted by path, conversations stand dep
 sends only the turns that the one before it doesn't share, and these follow each other in one
 stream of tokens.  A node holds its place in the stream, position ids (the place within a
 conversation), and the intervals of the stream that its tokens attend to beside the node's own
-earlier tokens: its ancestors, as few runs as the tree has branches on its way.
+earlier tokens: its ancestors, one run for each conversation that first told a part of its way.
 
 The order is a range sort by path.  A task walks its range with a stack of runs, as if its first
 conversation shared nothing; one row a task (its first and last conversation, its stack) then

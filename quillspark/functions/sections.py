@@ -58,7 +58,7 @@ def edit(content: str, title: str, new: str, append: bool = False) -> str:
         names = ", ".join(repr(h[2]) for h in headings) or "none"
         raise ValueError(f"{len(matching)} sections are called {wanted!r} (sections: {names})")
     line, level, _ = matching[0]
-    lines = content.splitlines(keepends=True) if "\r" not in content.replace("\r\n", "") else re.findall(r"[^\n]*\n|[^\n]+", content)
+    lines = re.findall(r"[^\n]*\n|[^\n]+", content)  # only line feeds end lines, as in scan
     end = min((h[0] for h in headings if h[0] > line and h[1] <= level), default=len(lines))
     eol = "\r\n" if "\r\n" in content else "\n"
     parts = [_trimmed("".join(lines[line + 1 : end]), eol)] * append + [_trimmed(new, eol)]

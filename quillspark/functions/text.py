@@ -103,11 +103,12 @@ def commit_description(kind: Column, key: Column) -> Column:
     return out
 
 
-def commit_message(parts: Column) -> Column:
-    """Distinct descriptions in order, or their number where that gets long."""
+def commit_message(parts: Column, number: Column | None = None) -> Column:
+    """Distinct descriptions in order, or their number where that gets long; ``number`` where parts are only the first of them."""
     own = F.array_distinct(parts)
+    n = F.size(own) if number is None else number
     text = F.array_join(own, ", ")
-    return F.when(F.length(text) <= 60, F.concat(F.lit("wiki: "), text)).otherwise(F.concat(F.lit("wiki: "), F.size(own).cast("string"), F.lit(" alterações")))
+    return F.when((F.length(text) <= 60) & (n == F.size(own)), F.concat(F.lit("wiki: "), text)).otherwise(F.concat(F.lit("wiki: "), n.cast("string"), F.lit(" alterações")))
 
 
 def proposal_id(slug: Column, at: Column) -> Column:

@@ -213,6 +213,7 @@ SELECT slug, 2 AS added, 1 AS removed, '-' || line || chr(10) || '+Look at' || s
     "event_latest_per_key": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id",
     "event_sessions": EVENT_SESSIONS,
     "stream_sessions": EVENT_SESSIONS,
+    "stream_bursts": f"WITH rows AS (SELECT * FROM events), {SESSIONS.format('user_id', '2 HOUR')} SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS first_s, count(*) AS events FROM numbered GROUP BY user_id, session HAVING max(ts) + INTERVAL 3 HOUR <= (SELECT max(ts) FROM events)",
     "stream_maintained": "SELECT user_id, max(event_id) AS last_event FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'",
     "commit_batches": f"""WITH all_rows AS (WITH {CHANGES} SELECT * FROM rows WHERE kind <> 'log_changed'), rows AS (SELECT * FROM all_rows), {SESSIONS.format('user_id', '2 HOUR')},
 d AS (SELECT user_id, session, ts, event_id, CASE kind WHEN 'page_created' THEN 'cria ' WHEN 'page_updated' THEN 'atualiza ' WHEN 'page_deleted' THEN 'remove ' ELSE 'ingere fonte ' END || key AS d FROM numbered),

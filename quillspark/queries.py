@@ -591,6 +591,24 @@ def dirty_index_bursts(spark, sf_dir):
     return ev.quiet_sessions(rows, "30 minutes").select(F.unix_seconds("first_ts").alias("first_s"), "events")
 
 
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of its files."""
+    schema = table(spark, sf_dir, "events").schema
+    read = spark.readStream.schema(schema)
+    rows = read.parquet(f"{sf_dir}/events.parquet") if _is_folder(spark, sf_dir) else read.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query
+def stream_bursts(spark, sf_dir):
+    """Bursts that a live stream has closed by its watermark, each sent once, by timers in state."""
+    path = _scratch(spark)
+    found = ev.debounced(_event_stream(spark, sf_dir).withWatermark("ts", "1 hour"), "2 hours", "user_id")
+    running = ev.started(found.writeStream.format("parquet").option("path", f"{path}/bursts").option("checkpointLocation", f"{path}/log").trigger(availableNow=True))
+    running.awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{path}/bursts").select("user_id", F.unix_seconds("first_ts").alias("first_s"), "events")
+
+
 @query
 def stream_sessions(spark, sf_dir):
     """The sessions of ``event_sessions``, by a stream that reads the table's files as they are."""

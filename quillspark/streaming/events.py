@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.window import Window
 
 from ..functions.text import commit_description, commit_message
@@ -43,28 +45,152 @@ def dirties_index(kind: Column, key: Column) -> Column:
     return kind.isin("page_created", "page_updated", "page_deleted") & (key != "index")
 
 
+#: Microseconds of the units that a gap may have.
+_UNITS = {"microsecond": 1, "millisecond": 1000, "second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000}
+
+
+def gap_micros(gap: str) -> int:
+    """A gap such as ``2 hours`` in microseconds."""
+    number, unit = gap.split()
+    return int(number) * _UNITS[unit.rstrip("s")]
+
+
+def _buckets(events: DataFrame, gap: str, *keys: str) -> DataFrame:
+    """Keys, ``_bucket`` and the events of each stretch of one gap's length, with ``_burst``: the first bucket of its burst.
+
+    Events of one bucket are less than a gap apart, so they are one burst, and are combined
+    before any shuffle.  Buckets then follow each other within the keys and a chunk of 4096
+    buckets; only the first and last burst of each chunk go on to be joined over its borders.
+    """
+    micros = gap_micros(gap)
+    at = F.floor(F.unix_micros("ts") / F.lit(micros))
+    found = events.where("ts is not null").groupBy(*keys, at.alias("_bucket")).agg(F.count("*").alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    found = found.withColumn("_chunk", F.floor(F.col("_bucket") / 4096))
+
+    def chained(rows: DataFrame, parts: list[str]) -> DataFrame:
+        order = Window.partitionBy(*parts).orderBy("_bucket")
+        apart = F.unix_micros("first_ts") - F.unix_micros(F.lag("last_ts").over(order)) >= micros
+        starts = rows.withColumn("_new", F.coalesce(apart, F.lit(True)))
+        return starts.withColumn("_burst", F.last(F.when(F.col("_new"), F.col("_bucket")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+    local = chained(found, [*keys, "_chunk"])
+    ends = local.groupBy(*keys, "_chunk", "_burst").agg(F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+    # a burst inside a chunk is whole; the first of a chunk may go on from the last of the one before
+    outer = ends.withColumn("_first", F.min("_burst").over(Window.partitionBy(*keys, "_chunk"))).withColumn("_last", F.max("_burst").over(Window.partitionBy(*keys, "_chunk")))
+    edges = chained(outer.where("_burst in (_first, _last)").withColumn("_bucket", F.col("_burst")).drop("_burst"), list(keys))
+    edges = edges.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_b"), F.col("_burst").alias("_whole"))
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_burst") == F.col("_b")]
+    return local.join(edges, on, "left").withColumn("_burst", F.coalesce("_whole", "_burst")).select(*keys, "_bucket", "_burst", "events", "first_ts", "last_ts")
+
+
 def quiet_sessions(events: DataFrame, gap: str, *keys: str) -> DataFrame:
-    """Bursts of events parted by a quiet gap: start, end and events.
+    """Bursts of events: keys, events, first_ts and last_ts.  A quiet time of the full gap parts two bursts, in batch and stream.
 
-    Without keys, a batch is cut into bursts within each day first, and only these meet in one
-    task, where those that go on over midnight are joined.
+    Events without time belong to no burst.  A stream needs a watermark and ends a burst once
+    the watermark has passed its last event by the gap.
     """
-    if not keys and not events.isStreaming:
-        parts = quiet_sessions(events.withColumn("_day", F.to_date("ts")), gap, "_day")
-        order = Window.orderBy("first_ts", "last_ts")
-        new = F.coalesce(F.col("first_ts") >= F.lag("last_ts").over(order) + F.expr(f"INTERVAL {gap}"), F.lit(True))
-        numbered = parts.withColumn("_n", new.cast("int")).withColumn("_burst", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        return numbered.groupBy("_burst").agg(F.sum("events").alias("events"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")).drop("_burst")
-    session = F.session_window("ts", gap)
-    found = events.groupBy(*keys, session).agg(F.count("*").alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    return found.drop("session_window")
+    if events.isStreaming:
+        session = F.session_window("ts", f"{gap_micros(gap) - 1} microseconds")  # Spark joins events that are a window apart
+        found = events.groupBy(*keys, session).agg(F.count("*").alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+        return found.drop("session_window")
+    found = _buckets(events, gap, *keys).groupBy(*keys, "_burst")
+    return found.agg(F.sum("events").alias("events"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")).drop("_burst")
+
+
+#: More descriptions than these can't fit a message that spells them out.
+SPELLED = 30
 
 
 def commit_batches(events: DataFrame, gap: str = "3 seconds", *keys: str) -> DataFrame:
-    """One message for each burst; descriptions in order of time, each once."""
-    rows = events.withColumn("d", commit_description(F.col("kind"), F.col("key"))).where("d is not null")
-    found = rows.groupBy(*keys, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events"), F.min("ts").alias("first_ts"), F.sort_array(F.collect_list(F.struct("ts", "order", "d"))).alias("l"))
-    return found.select(*keys, "first_ts", "events", commit_message(F.transform("l", lambda x: x.d)).alias("message"))
+    """One message for each burst of described changes (ts, order, kind, key); descriptions in order of time, each once.
+
+    Descriptions are made distinct before they are gathered, and a burst gathers no more of
+    them than its message can hold, however many events it has.
+    """
+    rows = events.withColumn("d", commit_description(F.col("kind"), F.col("key"))).where("d is not null and ts is not null")
+    bursts = _buckets(rows, gap, *keys).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_b"), "_burst")
+    each = rows.groupBy(*keys, F.floor(F.unix_micros("ts") / F.lit(gap_micros(gap))).alias("_bucket"), "d").agg(F.count("*").alias("n"), F.min(F.struct("ts", "order")).alias("o"))
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_bucket") == F.col("_b")]
+    each = each.join(bursts, on).groupBy(*keys, "_burst", "d").agg(F.sum("n").alias("n"), F.min("o").alias("o"))
+    ranked = each.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_burst").orderBy("o", "d")))
+    first = F.when(F.col("_rank") <= SPELLED + 1, F.struct("o", "d"))
+    found = ranked.groupBy(*keys, "_burst").agg(F.sum("n").alias("events"), F.min("o.ts").alias("first_ts"), F.count("*").alias("_all"), F.sort_array(F.collect_list(first)).alias("l"))
+    return found.select(*keys, "first_ts", "events", commit_message(F.transform("l", lambda x: x.d), F.col("_all")).alias("message"))
+
+
+class _Debounce(StatefulProcessor):
+    """Open bursts of one key; a timer for each closes and sends it."""
+
+    def __init__(self, micros: int) -> None:
+        self.micros = micros
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "first long, last long, events long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        bursts = [tuple(x) for x in self.open.get()]
+        timed = {last for _, last, _ in bursts}
+        for frame in rows:
+            bursts += [(t, t, 1) for t in frame["micros"]]
+        merged: list[list[int]] = []
+        for first, last, n in sorted(bursts):
+            if merged and first - merged[-1][1] < self.micros:
+                merged[-1][1:] = [max(merged[-1][1], last), merged[-1][2] + n]
+            else:
+                merged.append([first, last, n])
+        self.open.put([tuple(x) for x in merged])
+        for _, last, _ in merged:
+            if last not in timed:
+                self.handle.registerTimer(-(-(last + self.micros) // 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        bursts = [tuple(x) for x in self.open.get()]
+        done = [x for x in bursts if x[1] + self.micros <= now]
+        if not done:  # the burst went on since this timer was set
+            return
+        left = [x for x in bursts if x[1] + self.micros > now]
+        if left:
+            self.open.put(left)
+        else:
+            self.open.clear()
+        out = pd.DataFrame(done, columns=["first_us", "last_us", "events"])
+        yield out.assign(key=key[0])[["key", "first_us", "last_us", "events"]]
+
+    def close(self) -> None:
+        pass
+
+
+def debounced(events: DataFrame, gap: str, key: str) -> DataFrame:
+    """A live stream's closed bursts, each sent once: key, first_ts, last_ts, events (append mode).
+
+    ``events`` streams ``ts``, with a watermark, and ``key``.  Per key the state holds only open
+    bursts (three numbers each, as many as fit between the watermark and the newest event); a
+    timer at a burst's end plus the gap, in event time, sends it and takes it out of the state.
+    Late events within the watermark still join bursts.  Bursts that the watermark hasn't
+    passed stay open when a stream stops, and go on from its checkpoint.  Needs the RocksDB
+    state store.
+    """
+    schema = f"key {dict(events.dtypes)[key]}, first_us long, last_us long, events long"
+    rows = events.where("ts is not null").select(F.col(key).alias("key"), F.unix_micros("ts").alias("micros"), "ts")
+    found = rows.groupBy("key").transformWithStateInPandas(_Debounce(gap_micros(gap)), schema, "append", "eventTime")
+    return found.select(F.col("key").alias(key), F.timestamp_micros("first_us").alias("first_ts"), F.timestamp_micros("last_us").alias("last_ts"), "events")
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def started(writer: DataStreamWriter) -> StreamingQuery:
+    """Start a stream with timers in state on the RocksDB state store; the session keeps its own setting otherwise."""
+    spark = SparkSession.active()
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(STATE_STORE, before) if before else spark.conf.unset(STATE_STORE)
 
 
 def maintain(table_path: str, keys: list[str], order: str = "ts", deleted: str = "deleted") -> Callable[[DataFrame, int], None]:

@@ -158,3 +158,30 @@ def test_parser():
         parser.parse('a "b')
     assert parser.terms(parser.parsed('a "b')) == ["a", "b"]
     assert text.escaped_query("a+b") == "a\\+b"
+
+
+#: Characters that end a line elsewhere, but not in a page.
+NO_LINE_ENDS = ["\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029", "\r"]
+
+
+@pytest.mark.parametrize("mark", NO_LINE_ENDS)
+def test_edits_cut_lines_at_line_feeds_only(mark):
+    page = f"# A\nx{mark}y\n## B\nold\n## C\nkeep{mark}z\n"
+    assert sections.edit(page, "B", "new") == f"# A\nx{mark}y\n## B\n\nnew\n\n## C\nkeep{mark}z\n"
+    assert sections.edit(page, "C", "more", append=True).startswith(f"# A\nx{mark}y\n## B\nold\n## C\n\nkeep")
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["text", "", "# A", "## B", "### C", "```", "~~~", "x\x0cy", "a\u2028b", "q\x85", "end\r", "\r"]), max_size=12), st.lists(st.sampled_from(["", "tail\x1c", "# Z", "body"]), max_size=5))
+def test_edits_leave_the_rest(before, after):
+    """All lines outside the section stay byte for byte."""
+    page = "\n".join([*before, "# Only here", "old", "## inner", "x", "# Next", *after])
+    headings = sections.scan(page)
+    if [h[2].lower() for h in headings].count("only here") != 1:
+        return
+    line = next(h[0] for h in headings if h[2] == "Only here")
+    end = next(h[0] for h in headings if h[0] > line and h[1] == 1)
+    out = sections.edit(page, "only here", "new")
+    lines = page.split("\n")
+    assert out.startswith("\n".join(lines[: line + 1])) and out.endswith("\n".join(lines[end:]))
+    assert "old" not in out[len("\n".join(lines[: line + 1])) : len(out) - len("\n".join(lines[end:]))]

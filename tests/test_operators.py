@@ -263,12 +263,6 @@ def test_search_shuffles_no_text(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_sessions_without_keys_go_over_midnight(spark):
-    rows = [("2024-01-01 23:50:00",), ("2024-01-02 00:05:00",), ("2024-01-02 01:00:00",), ("2024-01-02 01:30:00",), ("2024-01-04 12:00:00",)]
-    df = spark.createDataFrame(rows, "ts string").select(F.col("ts").cast("timestamp").alias("ts"))
-    assert sorted((str(r.first_ts), r.events) for r in events.quiet_sessions(df, "30 minutes").collect()) == [("2024-01-01 23:50:00", 2), ("2024-01-02 01:00:00", 1), ("2024-01-02 01:30:00", 1), ("2024-01-04 12:00:00", 1)]
-
-
 def test_vector_files(spark, tmp_path):
     data = vectorfiles.encode(2, "m", "h", [(0, 0, 5, [1.0, 2.0]), (1, 4, 9, [3.0, 4.0])])
     assert vectorfiles.decode(data) == (2, "m", "h", [(0, 0, 5, [1.0, 2.0]), (1, 4, 9, [3.0, 4.0])])

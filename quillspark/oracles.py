@@ -28,12 +28,12 @@ edges AS (SELECT src, dst, min(kind) AS kind FROM (
 """
 
 
-def _bm25(fields: tuple[str, ...], kind: str | None, k: int) -> str:
+def _bm25(fields: tuple[str, ...], kind: str | None, k: int, docs: str = INDEX) -> str:
     """Scores by an explicit inverted index."""
     parts = " UNION ALL ".join(f"SELECT uri, '{f}' AS field, unnest({WORDS.format(f)}) AS term FROM docs" for f in fields)
     lens = " UNION ALL ".join(f"SELECT uri, '{f}' AS field, len({WORDS.format(f)}) AS dl FROM docs" for f in fields)
     where = f"WHERE kind = '{kind}'" if kind else ""
-    return f"""docs AS ({INDEX}), tokens AS ({parts}), lens AS ({lens}),
+    return f"""docs AS ({docs}), tokens AS ({parts}), lens AS ({lens}),
 tf AS (SELECT uri, field, term, count(*) AS tf FROM tokens WHERE term IN ('with', 'from') GROUP BY ALL),
 df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY ALL), av AS (SELECT field, avg(dl) AS al FROM lens GROUP BY field),
 scored AS (SELECT uri, sum(ln(1 + ((SELECT count(*) FROM docs) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / al))) AS score
@@ -41,6 +41,7 @@ scored AS (SELECT uri, sum(ln(1 + ((SELECT count(*) FROM docs) - df + 0.5) / (df
 found AS (SELECT uri, kind, slug, score FROM scored JOIN docs USING (uri) {where} ORDER BY score DESC, uri LIMIT {k})"""
 
 
+CHANGED = f"SELECT * REPLACE (CASE WHEN last_modified % 10 = 3 THEN content || ' with from with' ELSE content END AS content) FROM ({INDEX}) WHERE last_modified % 10 <> 4"
 BM25 = "WITH {0} SELECT uri, kind, round(score, 6) AS score FROM found"
 NORM = "sqrt(list_sum(list_transform({0}, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))"
 COSINE = f"list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.v AS DOUBLE[])) / ({NORM.format('e.embedding')} * {NORM.format('q.v')})"
@@ -106,14 +107,24 @@ updated AS (SELECT doc_id, k, ok, CASE WHEN k = 2 THEN 'new-' ELSE '' END || slu
   CASE WHEN starts_with(r, '---' || chr(10)) THEN regexp_replace(r, '\\n---\\n', chr(10) || '{_DATE})
     WHEN k = 2 THEN '---' || chr(10) || 'created_at: "2025-06-01"' || chr(10) || '{_DATE} || r ELSE '---' || chr(10) || '{_DATE} || r END AS content FROM raw)"""
 
+PHRASE = f"WITH docs AS ({INDEX}) SELECT uri FROM docs WHERE contains(' ' || array_to_string({WORDS.format('title')}, ' ') || ' ', ' of the ') OR contains(' ' || array_to_string({WORDS.format('content')}, ' ') || ' ', ' of the ')"
+MUST_NOT = f"WITH docs AS ({INDEX}), w AS (SELECT uri, {WORDS.format('title')} AS a, {WORDS.format('content')} AS b FROM docs) SELECT uri FROM w WHERE (list_contains(a, 'the') OR list_contains(b, 'the')) AND NOT list_contains(b, 'from')"
+
 ORACLES: dict[str, str] = {
     "bm25_topk": BM25.format(_bm25(("content",), None, 20)),
     "bm25_kind_filter": BM25.format(_bm25(("content",), "raw", 20)),
     "bm25_two_field": BM25.format(_bm25(("title", "content"), None, 20)),
     "query_fallback": BM25.format(_bm25(("title", "content"), None, 20)),
+    "index_search": BM25.format(_bm25(("title", "content"), None, 20)),
+    "index_kind": BM25.format(_bm25(("title", "content"), "raw", 20)),
+    "index_upserted": BM25.format(_bm25(("title", "content"), None, 20, CHANGED)),
+    "index_compacted": BM25.format(_bm25(("title", "content"), None, 20, CHANGED)),
+    "index_phrase": PHRASE,
+    "index_boolean": MUST_NOT,
+    "index_terms": f"WITH docs AS ({INDEX}), t AS (SELECT uri, 'title' AS field, unnest({WORDS.format('title')}) AS term FROM docs UNION ALL SELECT uri, 'content', unnest({WORDS.format('content')}) FROM docs) SELECT field, term, count(DISTINCT uri) AS df FROM t GROUP BY ALL",
     "match_all": f"SELECT uri, kind, 1.0::DOUBLE AS score FROM ({INDEX}) ORDER BY uri LIMIT 20",
-    "phrase_match": f"WITH docs AS ({INDEX}) SELECT uri FROM docs WHERE contains(' ' || array_to_string({WORDS.format('title')}, ' ') || ' ', ' of the ') OR contains(' ' || array_to_string({WORDS.format('content')}, ' ') || ' ', ' of the ')",
-    "boolean_must_not": f"WITH docs AS ({INDEX}), w AS (SELECT uri, {WORDS.format('title')} AS a, {WORDS.format('content')} AS b FROM docs) SELECT uri FROM w WHERE (list_contains(a, 'the') OR list_contains(b, 'the')) AND NOT list_contains(b, 'from')",
+    "phrase_match": PHRASE,
+    "boolean_must_not": MUST_NOT,
     "term_stats": f"WITH docs AS ({INDEX}), t AS (SELECT uri, unnest({WORDS.format('content')}) AS term FROM docs) SELECT term, count(DISTINCT uri) AS df, count(*) AS cf FROM t GROUP BY term",
     "field_lengths": f"WITH docs AS ({INDEX}) SELECT 'title' AS field, uri, len({WORDS.format('title')}) AS dl FROM docs UNION ALL SELECT 'content', uri, len({WORDS.format('content')}) FROM docs",
     "snippets": f"SELECT uri, CASE WHEN length(content) > 300 THEN substr(content, 1, 300) || '...' ELSE content END AS snippet FROM ({INDEX})",

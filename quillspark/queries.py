@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from .functions import chunking, claims, diffing, frontmatter, rewrite, sections, text
 from .operators import fusion, graph, lexical, lint, metadata, mutation, similarity, updates, vectors
+from .operators.index import Index
 from .plans import parser, search
 from .sources.tables import index_documents, table, wiki
 from .streaming import events as ev
@@ -105,6 +106,68 @@ def snippets(spark, sf_dir):
     return index_documents(spark, sf_dir).select("uri", text.snippet(F.col("content")).alias("snippet"))
 
 
+# --- the stored index -----------------------------------------------------------------------
+
+_INDEXES: dict[tuple[str, str], Index] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> Index:
+    """An index of all documents, written once for each session and folder of tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        made = Index(spark, _scratch(spark))
+        made.upsert(index_documents(spark, sf_dir))
+        _INDEXES[key] = made
+    return _INDEXES[key]
+
+
+def _changed_index(spark: SparkSession, sf_dir: str) -> Index:
+    """Every tenth document replaced by a longer one, and another tenth deleted."""
+    docs = index_documents(spark, sf_dir)
+    made = Index(spark, _scratch(spark))
+    made.upsert(docs)
+    made.upsert(docs.where("last_modified % 10 = 3").withColumn("content", F.concat("content", F.lit(" with from with"))))
+    made.delete(docs.where("last_modified % 10 = 4").select("uri"))
+    return made
+
+
+@query
+def index_search(spark, sf_dir):
+    return _hits(_index(spark, sf_dir).top_k(TERMS, 20))
+
+
+@query
+def index_kind(spark, sf_dir):
+    return _hits(_index(spark, sf_dir).search("with from", 20, "raw"))
+
+
+@query
+def index_upserted(spark, sf_dir):
+    return _hits(_changed_index(spark, sf_dir).search("with from", 20))
+
+
+@query
+def index_compacted(spark, sf_dir):
+    changed = _changed_index(spark, sf_dir)
+    changed.compact()
+    return _hits(changed.search("with from", 20))
+
+
+@query
+def index_phrase(spark, sf_dir):
+    return _index(spark, sf_dir).matching('"of the"')
+
+
+@query
+def index_boolean(spark, sf_dir):
+    return _index(spark, sf_dir).matching("+the -content:from")
+
+
+@query
+def index_terms(spark, sf_dir):
+    return _index(spark, sf_dir).term_frequencies()
+
+
 # --- vectors and fusion ---------------------------------------------------------------------
 
 

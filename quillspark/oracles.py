@@ -107,6 +107,20 @@ updated AS (SELECT doc_id, k, ok, CASE WHEN k = 2 THEN 'new-' ELSE '' END || slu
   CASE WHEN starts_with(r, '---' || chr(10)) THEN regexp_replace(r, '\\n---\\n', chr(10) || '{_DATE})
     WHEN k = 2 THEN '---' || chr(10) || 'created_at: "2025-06-01"' || chr(10) || '{_DATE} || r ELSE '---' || chr(10) || '{_DATE} || r END AS content FROM raw)"""
 
+_WINDOW = "substr(body, {0} + 1, 2000)"
+CUT = f"""CASE WHEN contains({_WINDOW}, chr(10) || chr(10)) THEN 2001 - instr(reverse({_WINDOW}), chr(10) || chr(10)) WHEN contains({_WINDOW}, chr(10)) THEN 2001 - instr(reverse({_WINDOW}), chr(10))
+  WHEN regexp_matches({_WINDOW}, '[.!?] ') THEN length(regexp_extract({_WINDOW}, '(?s)\\A(.*[.!?] )', 1)) WHEN contains({_WINDOW}, ' ') THEN 2001 - instr(reverse({_WINDOW}), ' ') ELSE 2000 END"""
+
+#: Borders of page chunks by recursion; each step looks for the last blank line, line, sentence and word of 2000 characters.
+CHUNKS = f"""plain AS (SELECT slug, regexp_replace(content, '[^\\n -~]', '?', 'g') AS content FROM ({WIKI})),
+body AS (SELECT slug, {STALE_BODY} AS body FROM plain),
+step AS (
+  SELECT slug, body, 0 AS i, 0 AS s, CASE WHEN length(body) <= 2000 THEN length(body) ELSE {CUT.format("0")} END AS e FROM body WHERE trim(body, chr(10) || ' ') <> ''
+  UNION ALL
+  SELECT slug, body, i + 1, n, CASE WHEN length(body) - n <= 2000 THEN length(body) ELSE n + {CUT.format("n")} END
+  FROM (SELECT *, CASE WHEN greatest(0, e - 400) > s THEN greatest(0, e - 400) ELSE e END AS n FROM step WHERE e < length(body))
+), chunk AS (SELECT * FROM step)"""
+
 PHRASE = f"WITH docs AS ({INDEX}) SELECT uri FROM docs WHERE contains(' ' || array_to_string({WORDS.format('title')}, ' ') || ' ', ' of the ') OR contains(' ' || array_to_string({WORDS.format('content')}, ' ') || ' ', ' of the ')"
 MUST_NOT = f"WITH docs AS ({INDEX}), w AS (SELECT uri, {WORDS.format('title')} AS a, {WORDS.format('content')} AS b FROM docs) SELECT uri FROM w WHERE (list_contains(a, 'the') OR list_contains(b, 'the')) AND NOT list_contains(b, 'from')"
 
@@ -241,8 +255,15 @@ CASE WHEN ok AND doc_id % 2 = 0 THEN '[' || CASE k WHEN 0 THEN 'overwrite' WHEN
     "page_proposals": f"""WITH {UPDATED} SELECT slug || '-20250601120000-' || substr(md5(slug || ':1748779200000000000'), 1, 6) AS proposal_id, slug, CASE WHEN doc_id % 2 = 0 THEN 'because' END AS reason,
 base_hash IS NOT NULL AS base_page_exists, base_hash, 'pending' AS status FROM updated WHERE ok""",
     "metadata_edits": f"WITH {PARSED} SELECT slug, type, 'done' AS status, CASE WHEN has_front THEN split_part(tags, ', ', 2) || ',new' ELSE 'new' END AS tags FROM parsed",
-    "semantic_snippets": f"""WITH {SEMANTIC.format(10)} SELECT slug, round(score, 5) AS score, substr(regexp_replace(coalesce(text, ''), '[^ -~]', '?', 'g'), CAST(best_index % 9 * 40 + 1 AS INTEGER), 40) AS snippet
-FROM semantic JOIN documents ON slug = 'doc-' || CAST(doc_id AS STRING)""",
+    "page_chunks": f"WITH RECURSIVE {CHUNKS} SELECT slug, i AS index, s AS start, e AS end FROM chunk",
+    "semantic_snippets": f"""WITH RECURSIVE {CHUNKS}, piece AS (SELECT slug, i, substr(body, s + 1, e - s) AS t FROM chunk),
+letters AS (SELECT slug, i, unnest(string_split(t, '')) AS c FROM piece), dims AS (SELECT slug, i, ascii(c) % 16 AS d, count(*) AS n FROM letters GROUP BY ALL),
+asked AS (SELECT ascii(c) % 16 AS d, count(*) AS n FROM (SELECT unnest(string_split('with from', '')) AS c) GROUP BY ALL),
+scored AS (SELECT slug, i, sum(x.n * coalesce(q.n, 0)) / sqrt(sum(x.n * x.n)) / (SELECT sqrt(sum(n * n)) FROM asked) AS score FROM dims x LEFT JOIN asked q USING (d) GROUP BY slug, i),
+best AS (SELECT slug, max(score) AS score, arg_max(i, (round(score, 6), -i)) AS i FROM scored GROUP BY slug ORDER BY score DESC, slug LIMIT 10)
+SELECT slug, round(score, 5) AS score, md5(t) AS snippet_md5 FROM best JOIN piece USING (slug, i)""",
+    "embedding_upkeep": f"""WITH wiki AS ({WIKI}), now AS (SELECT slug, CASE WHEN doc_id % 5 < 3 AND doc_id % 3 = 0 THEN content || 'more' || chr(10) ELSE content END AS content FROM wiki WHERE doc_id % 5 <> 1),
+b AS (SELECT slug, {STALE_BODY} AS body FROM now) SELECT slug, md5(body) AS body_hash, 'bytes-16' AS model, 0 AS first, strlen(body) AS last, true AS whole FROM b WHERE trim(body, chr(10) || ' ') <> ''""",
     "ingest_sources": f"""WITH kept AS (SELECT url, arg_max(html, page_id) AS html, max(page_id) AS page_id FROM pages WHERE url IS NOT NULL GROUP BY url)
 SELECT md5(url) AS source_id, coalesce({MIME}, 'text/html') AS mime_type, strlen(html) AS size_bytes FROM kept WHERE page_id % 5 <> 0""",
 }

@@ -14,6 +14,7 @@ from .operators import fusion, graph, lexical, lint, metadata, mutation, similar
 from .operators.index import Index
 from .plans import parser, search
 from .sources.tables import index_documents, table, wiki
+from .streaming import embeddings as upkeep
 from .streaming import events as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -538,14 +539,56 @@ def metadata_edits(spark, sf_dir):
     return fields.select("slug", "type", "status", F.array_join("tags", ",").alias("tags"))
 
 
+def _plain_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose bytes are characters, for the SQL: other letters become question marks."""
+    return wiki(spark, sf_dir).select("slug", F.regexp_replace("content", r"[^\n -~]", "?").alias("content"))
+
+
+def _page_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of the chunks of all pages."""
+    rows = _plain_pages(spark, sf_dir).select("slug", frontmatter.body(F.col("content")).alias("body"), F.explode(upkeep.page_chunks(F.col("content"))).alias("c"))
+    embed = vectors.embedder(vectors.ByteHistogram(16))
+    return rows.select("slug", "c.*", embed(chunking.piece(F.col("body"), F.col("c.start"), F.col("c.end"))).alias("vector"))
+
+
+@query
+def page_chunks(spark, sf_dir):
+    """Every border of every chunk of the pages."""
+    return _plain_pages(spark, sf_dir).select("slug", F.explode(upkeep.page_chunks(F.col("content"))).alias("c")).select("slug", "c.*")
+
+
 @query
 def semantic_snippets(spark, sf_dir):
-    """The text of the best chunk of the best pages; a page's chunks are 40 characters each here, ASCII letters only."""
-    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", "?")
-    pages = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("slug"), plain.alias("content"))
-    spans = _chunks(spark, sf_dir).select("slug", "index", (F.col("index") % 9 * 40).cast("int").alias("start"), (F.col("index") % 9 * 40 + 40).cast("int").alias("end"))
-    best = vectors.semantic_search(_chunks(spark, sf_dir), _query_vector(spark, sf_dir), 10)
-    return updates.best_snippets(best, spans, pages).select("slug", F.round("score", 5).alias("score"), "snippet")
+    """The text of the best chunk of the best pages, from the pages' real chunks."""
+    chunks = _page_vectors(spark, sf_dir)
+    best = vectors.semantic_search(chunks, vectors.ByteHistogram(16).embed(["with from"])[0], 10)
+    bodies = _plain_pages(spark, sf_dir).select("slug", frontmatter.body(F.col("content")).alias("content"))
+    found = updates.best_snippets(best, chunks.select("slug", "index", "start", "end"), bodies)
+    return found.select("slug", F.round("score", 5).alias("score"), F.md5("snippet").alias("snippet_md5"))
+
+
+@query
+def embedding_upkeep(spark, sf_dir):
+    """Page vectors kept by a stream over the documents: one batch of all pages, one that changes, deletes and leaves some."""
+    path = _scratch(spark)
+    kept = upkeep.Upkeep(path, vectors.ByteHistogram(16))
+    pages = wiki(spark, sf_dir).select("doc_id", "slug", "content")
+    first = pages.select("slug", "content", F.col("doc_id").alias("order"), F.lit(False).alias("deleted"))
+    tail = F.when(F.col("doc_id") % 3 == 0, F.concat("content", F.lit("more\n"))).otherwise(F.col("content"))
+    second = pages.where("doc_id % 5 < 3").select("slug", tail.alias("content"), F.col("doc_id").alias("order"), (F.col("doc_id") % 5 == 1).alias("deleted"))
+    for n, batch in enumerate((first, second)):
+        batch.write.parquet(f"{path}/in/{n}")
+    rows = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{path}/in/*")
+    rows = rows.select("slug", "content", "order", "deleted", F.regexp_extract("_metadata.file_path", "/in/([0-9]+)/", 1).cast("int").alias("n"))
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        for n in (0, 1):  # the folders of the two batches, in their order
+            kept.apply(batch.where(F.col("n") == n).drop("n"), 2 * batch_id + n)
+
+    running = rows.writeStream.foreachBatch(apply).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
+    running.awaitTermination()
+    spans = kept.vectors(spark).groupBy("slug", "body_hash", "model").agg(F.min("start").alias("first"), F.max("end").cast("long").alias("last"), F.max("index").alias("top"), F.count("*").alias("chunks"))
+    return spans.select("slug", "body_hash", "model", "first", "last", (F.col("top") + 1 == F.col("chunks")).alias("whole"))
 
 
 # --- mutation -------------------------------------------------------------------------------

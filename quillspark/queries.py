@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from .functions import chunking, claims, diffing, frontmatter, rewrite, sections
 from .operators import fusion, graph, lexical, lint, metadata, mutation, similarity, updates, vectors
 from .operators.index import Index
 from .plans import parser, search
+from .session import scratch
 from .sources.tables import index_documents, table, wiki
 from .streaming import embeddings as upkeep
 from .streaming import events as ev
@@ -116,7 +116,7 @@ def _index(spark: SparkSession, sf_dir: str) -> Index:
     """An index of all documents, written once for each session and folder of tables."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INDEXES:
-        made = Index(spark, _scratch(spark))
+        made = Index(spark, scratch(spark))
         made.upsert(index_documents(spark, sf_dir))
         _INDEXES[key] = made
     return _INDEXES[key]
@@ -125,7 +125,7 @@ def _index(spark: SparkSession, sf_dir: str) -> Index:
 def _changed_index(spark: SparkSession, sf_dir: str) -> Index:
     """Every tenth document replaced by a longer one, and another tenth deleted."""
     docs = index_documents(spark, sf_dir)
-    made = Index(spark, _scratch(spark))
+    made = Index(spark, scratch(spark))
     made.upsert(docs)
     made.upsert(docs.where("last_modified % 10 = 3").withColumn("content", F.concat("content", F.lit(" with from with"))))
     made.delete(docs.where("last_modified % 10 = 4").select("uri"))
@@ -570,7 +570,7 @@ def semantic_snippets(spark, sf_dir):
 @query
 def embedding_upkeep(spark, sf_dir):
     """Page vectors kept by a stream over the documents: one batch of all pages, one that changes, deletes and leaves some."""
-    path = _scratch(spark)
+    path = scratch(spark)
     kept = upkeep.Upkeep(path, vectors.ByteHistogram(16))
     pages = wiki(spark, sf_dir).select("doc_id", "slug", "content")
     first = pages.select("slug", "content", F.col("doc_id").alias("order"), F.lit(False).alias("deleted"))
@@ -708,7 +708,7 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_bursts(spark, sf_dir):
     """Bursts that a live stream has closed by its watermark, each sent once, by timers in state."""
-    path = _scratch(spark)
+    path = scratch(spark)
     found = ev.debounced(_event_stream(spark, sf_dir).withWatermark("ts", "1 hour"), "2 hours", "user_id")
     running = ev.started(found.writeStream.format("parquet").option("path", f"{path}/bursts").option("checkpointLocation", f"{path}/log").trigger(availableNow=True))
     running.awaitTermination()
@@ -721,7 +721,7 @@ def stream_sessions(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir) if not _is_folder(spark, sf_dir) else spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
     found = ev.quiet_sessions(rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour"), "2 hours", "user_id")
-    path = _scratch(spark)
+    path = scratch(spark)
     put = lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/sessions")  # the last batch has all; none of it comes to the driver
     running = found.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
     running.awaitTermination()
@@ -734,7 +734,7 @@ def stream_maintained(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir) if not _is_folder(spark, sf_dir) else spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
     rows = rows.select("user_id", F.col("event_id").alias("last_event"), "event_id", (F.col("event_type") == "error").alias("deleted"))
-    path = _scratch(spark)
+    path = scratch(spark)
     running = rows.writeStream.foreachBatch(ev.maintain(f"{path}/table", ["user_id"], "event_id")).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
     running.awaitTermination()
     last = running.lastProgress["batchId"] if running.lastProgress else 0
@@ -745,15 +745,3 @@ def _is_folder(spark: SparkSession, sf_dir: str) -> bool:
     """Whether the events table is a folder of files (Spark's own file system looks)."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
-
-
-def _scratch(spark: SparkSession) -> str:
-    """A new folder in the shared one; a local one only where none is set and the master is local."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.gettempdir()
-    return f"{base.rstrip('/')}/quillspark-{uuid.uuid4().hex}"

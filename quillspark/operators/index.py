@@ -1,6 +1,6 @@
 """A stored full-text index: segments of postings, tombstones and a log of commits, in any folder that Spark can write.
 
-``docs/segment=`` holds the documents of each commit, numbered by kind and length;
+``docs/segment=`` holds the documents of each commit, numbered by task, kind and length;
 ``postings/segment=/bucket=`` their postings, bucketed by a hash of the term, a row (block) for
 each field, term and window of at most 1024 document numbers: places within the window, frequencies,
 field lengths and positions as arrays, with the block's greatest frequency and least length.
@@ -41,10 +41,8 @@ TOKENS = 1 << 20
 #: Windows that a search scores first, at least.
 FIRST = 32
 LOG = "version long, op string, segment string, added long, docs long, title_docs long, content_docs long, title_len long, content_len long, buckets array<int>, dead_buckets array<int>"
-DOCS = "doc long, uri string, kind string, title string, content string, snippet string, last_modified long, title_len long, content_len long, segment string"
-POSTINGS = (
-    "kind string, field string, term string, window long, n int, max_tf int, min_dl long, places array<int>, tfs array<int>, dls array<long>, positions array<array<int>>, segment string, bucket int"
-)
+DOCS = "doc long, uri string, kind string, title string, content string, snippet string, last_modified long, segment string"
+POSTINGS = "kind string, field string, term string, window long, n int, total long, max_tf int, min_dl int, places array<int>, tfs array<int>, dls array<int>, positions array<int>, segment string, bucket int"
 DEAD = "segment string, doc long, by string"
 DEAD_TERMS = "field string, term string, n long, by string, bucket int"
 FIGURES = ("docs", "title_docs", "content_docs", "title_len", "content_len")
@@ -89,12 +87,12 @@ def _blocks_of(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         dl = lengths[post_row]
         ends = pa.array(np.append(blocks, len(posts)).astype(np.int32))
         listed = lambda values, kind: pa.ListArray.from_arrays(ends, pa.array(values, kind))
-        inner = pa.ListArray.from_arrays(pa.array(np.append(posts, len(ids)).astype(np.int32)), pa.array(position, pa.int32()))
+        all_ends = pa.array(np.append(posts, len(ids))[np.append(blocks, len(posts))].astype(np.int32))
         n = len(names)
         columns = [
             pa.array([kind] * n, pa.string()), pa.array([field] * n), pa.array(list(names)), pa.array(np.full(n, base), pa.int64()),
-            pa.array(np.diff(np.append(blocks, len(posts))), pa.int32()), pa.array(np.maximum.reduceat(tf, blocks), pa.int32()), pa.array(np.minimum.reduceat(dl, blocks), pa.int64()),
-            listed(np.array(places)[post_row], pa.int32()), listed(tf, pa.int32()), listed(dl, pa.int64()), pa.ListArray.from_arrays(ends, inner),
+            pa.array(np.diff(np.append(blocks, len(posts))), pa.int32()), pa.array(np.add.reduceat(tf, blocks), pa.int64()), pa.array(np.maximum.reduceat(tf, blocks), pa.int32()), pa.array(np.minimum.reduceat(dl, blocks), pa.int32()),
+            listed(np.array(places)[post_row], pa.int32()), listed(tf, pa.int32()), listed(dl, pa.int32()), pa.ListArray.from_arrays(all_ends, pa.array(position, pa.int32())),
         ]
         return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in POSTINGS.split(", ")[: len(columns)]])
 
@@ -194,23 +192,23 @@ class Index:
 
     def _write_segment(self, docs: DataFrame, segment: str) -> dict[str, int]:
         """Documents and postings of a segment; its figures."""
-        length = lambda c: F.size(search_terms(F.col(c))).cast("long")
-        rows = docs.select("uri", "kind", "title", "content", snippet(F.col("content")).alias("snippet"), F.col("last_modified").cast("long").alias("last_modified"), length("title").alias("title_len"), length("content").alias("content_len"))
-        # short documents stand together, so that blocks have tight bounds
-        rows = rows.repartitionByRange("kind", "content_len", "uri").sortWithinPartitions("kind", "content_len", "uri")
-        rows.select(F.monotonically_increasing_id().alias("doc"), "*").write.parquet(f"{self.root}/docs/segment={segment}")
+        rows = docs.select("uri", "kind", "title", "content", snippet(F.col("content")).alias("snippet"), F.col("last_modified").cast("long").alias("last_modified"))
+        # within a task short documents stand together, so that blocks have tight bounds; texts aren't shuffled
+        rows = rows.sortWithinPartitions("kind", F.octet_length("content"), "uri")
+        rows.select(F.monotonically_increasing_id().alias("doc"), "*").write.option("compression", "zstd").parquet(f"{self.root}/docs/segment={segment}")
         held = self._read("docs", DOCS, "segment", [segment])
         joined = [F.array_join(search_terms(F.col(f)), " ").alias(f) for f in FIELDS]  # a term holds no blank
         schema = ", ".join(POSTINGS.split(", ")[:-2])
         blocks = held.select("kind", "doc", *joined).mapInArrow(_blocks_of(self.window), schema)
         blocks = blocks.withColumn("bucket", _bucket(F.col("term"), self.buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "field", "kind", "window")
-        blocks.write.option("parquet.writer.version", "v2").partitionBy("bucket").parquet(f"{self.root}/postings/segment={segment}")
-        return self._figures(held)
+        blocks.write.option("parquet.writer.version", "v2").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.root}/postings/segment={segment}")
+        sums = {r.field: r.n for r in self._read("postings", POSTINGS, "segment", [segment]).groupBy("field").agg(F.sum("total").alias("n")).collect()} if self._buckets(f"postings/segment={segment}") else {}
+        return self._counts(held) | {f"{f}_len": sums.get(f, 0) for f in FIELDS}
 
     @staticmethod
-    def _figures(docs: DataFrame) -> dict[str, int]:
-        row = docs.agg(F.count("*").alias("docs"), F.count("title_len").alias("title_docs"), F.count("content_len").alias("content_docs"), F.sum("title_len").alias("title_len"), F.sum("content_len").alias("content_len")).first()
-        return {k: row[k] or 0 for k in FIGURES}
+    def _counts(docs: DataFrame, *more: Column) -> dict[str, int]:
+        row = docs.agg(F.count("*").alias("docs"), F.count("title").alias("title_docs"), F.count("content").alias("content_docs"), *more).first()
+        return {k: v or 0 for k, v in row.asDict().items()}
 
     def _change(self, docs: DataFrame | None, gone: DataFrame) -> int:
         """One commit: what stands under the uris of ``gone`` goes, then ``docs`` come; older segments aren't touched."""
@@ -225,7 +223,7 @@ class Index:
             old.select("segment", "doc").write.parquet(f"{self.root}/dead/by={segment}")
             dead = self.spark.read.schema("segment string, doc long").parquet(f"{self.root}/dead/by={segment}")
             held = self._read("docs", DOCS, "segment", state.filled).join(dead, ["segment", "doc"], "left_semi")
-            lost = self._figures(held)
+            lost = self._counts(held, *[F.sum(F.size(search_terms(F.col(f)))).alias(f"{f}_len") for f in FIELDS])
             terms = None
             for f in FIELDS:
                 one = held.select(F.lit(f).alias("field"), F.explode(F.array_distinct(search_terms(F.col(f)))).alias("term"))
@@ -242,6 +240,8 @@ class Index:
         """
         columns = [c.split()[0] for c in DOCS.split(", ")[1:7] if not c.startswith("snippet")]
         rows = docs.select(*columns).where("uri is not null")
+        if rows.groupBy("uri").count().where("count > 1").isEmpty():  # then no text has to meet another
+            return self._change(rows, rows)
         last = rows.groupBy("uri").agg(F.max_by(F.struct(*columns[1:]), F.struct("last_modified", F.xxhash64("kind", "title", "content"))).alias("r")).select("uri", "r.*")
         return self._change(last, last)
 
@@ -325,9 +325,10 @@ class Index:
         for j, w in enumerate(words):
             places.setdefault(w, []).append(j)
         at = F.create_map(*[x for w, js in places.items() for x in (F.lit(w), F.array(*map(F.lit, js)))])
-        rows = self.blocks(state, list(places)).where(F.col("field").isin(list(fields))).select("segment", "kind", "field", "window", "places", "positions", F.explode(F.element_at(at, F.col("term"))).alias("j"))
-        starts = lambda x: F.transform(F.filter(x["positions"], lambda p: p >= F.col("j")), lambda p: x["places"].cast("long") * (1 << 32) + (p - F.col("j")))
-        rows = rows.select("segment", "kind", "field", "window", F.flatten(F.transform(F.arrays_zip("places", "positions"), starts)).alias("starts"))
+        rows = self.blocks(state, list(places)).where(F.col("field").isin(list(fields))).select("segment", "kind", "field", "window", "places", "tfs", "positions", F.explode(F.element_at(at, F.col("term"))).alias("j"))
+        each = F.flatten(F.zip_with("places", "tfs", lambda p, n: F.array_repeat(p, n)))  # a place for each position
+        start = lambda p, at: F.when(at >= F.col("j"), p.cast("long") * (1 << 32) + (at - F.col("j")))
+        rows = rows.select("segment", "kind", "field", "window", F.filter(F.zip_with(each, "positions", start), lambda s: s.isNotNull()).alias("starts"))
         met = rows.groupBy("segment", "kind", "field", "window").agg(F.collect_list("starts").alias("l")).where(F.size("l") == len(words))
         both = F.aggregate(F.slice("l", 2, len(words)), F.get("l", F.lit(0)), F.array_intersect)
         docs = F.explode(F.array_distinct(F.transform(both, lambda s: F.shiftright(s, 32))))

@@ -35,7 +35,7 @@ def index(spark, docs, tmp_path_factory):
     return made
 
 
-@pytest.mark.parametrize("query", ["w1 w7", "w0", '"w0 w1"', '"w0 w0 w1"', "x-ray", '"x-ray naïve"', "+w3 -w0", "title:w2", "content:same w9", "+w1 +w2 w30", "(w1 OR w5) AND w2", "überall", "", "-w0", "nowhere", '"w1', "same w0 w1"])
+@pytest.mark.parametrize("query", ["w1 w7", '"w0 w0 w1"', '"x-ray naïve"', "+w3 -w0", "title:w2", "content:same w9", "(w1 OR w5) AND w2", "", "-w0", "nowhere", '"w1'])
 def test_searches_equal_those_over_texts(index, docs, query):
     kind = "raw" if len(query) % 2 else None
     assert shown(index.search(query, 15, kind)) == shown(search.lexical_search(docs, query, 15, kind))
@@ -44,7 +44,7 @@ def test_searches_equal_those_over_texts(index, docs, query):
 def test_block_max_is_exact_and_skips(index, docs, monkeypatch):
     monkeypatch.setattr("quillspark.operators.index.FIRST", 2)
     rng, told = random.Random(9), []
-    for _ in range(10):
+    for _ in range(6):
         terms = [f"w{rng.choice([0, 1, 2, 5, 11, 20, 33, 47])}" for _ in range(rng.randint(1, 3))]
         k = rng.choice([1, 3, 45])
         one = {}

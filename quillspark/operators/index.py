@@ -2,7 +2,7 @@
 
 ``docs/segment=`` holds the documents of each commit, numbered by task, kind and length;
 ``postings/segment=/bucket=`` their postings, bucketed by a hash of the term, a row (block) for
-each field, term and window of at most 1024 document numbers: places within the window, frequencies,
+each field, term and window of at most 4096 document numbers: places within the window, frequencies,
 field lengths and positions as arrays, with the block's greatest frequency and least length.
 ``dead/by=`` and ``dead_terms/by=`` hold what a commit has replaced or deleted in older segments,
 and how many documents each term lost by that.  ``log`` has one row for each commit, appended by
@@ -35,7 +35,7 @@ from ..functions.text import search_terms, snippet
 from ..plans import parser
 from .lexical import FIELDS, B, K1
 
-WINDOW, BUCKETS = 1024, 64
+WINDOW, BUCKETS = 4096, 64
 #: Terms that a window holds before it ends.
 TOKENS = 1 << 20
 #: Windows that a search scores first, at least.
@@ -43,6 +43,8 @@ FIRST = 32
 LOG = "version long, op string, segment string, added long, docs long, title_docs long, content_docs long, title_len long, content_len long, buckets array<int>, dead_buckets array<int>"
 DOCS = "doc long, uri string, kind string, title string, content string, snippet string, last_modified long, segment string"
 POSTINGS = "kind string, field string, term string, window long, n int, total long, max_tf int, min_dl int, places array<int>, tfs array<int>, dls array<int>, positions array<int>, segment string, bucket int"
+#: A block on its way to its bucket: one array of places, frequencies, lengths and positions, so that rare terms stay short.
+PACKED = "kind string, field int, term string, window long, n int, data array<int>"
 DEAD = "segment string, doc long, by string"
 DEAD_TERMS = "field string, term string, n long, by string, bucket int"
 FIGURES = ("docs", "title_docs", "content_docs", "title_len", "content_len")
@@ -84,17 +86,21 @@ def _blocks_of(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         posts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (row[1:] != row[:-1])]))
         tf, post_row = np.diff(np.append(posts, len(ids))), row[posts]
         blocks = np.flatnonzero(np.concatenate([[True], ids[posts][1:] != ids[posts][:-1]]))
-        dl = lengths[post_row]
-        ends = pa.array(np.append(blocks, len(posts)).astype(np.int32))
-        listed = lambda values, kind: pa.ListArray.from_arrays(ends, pa.array(values, kind))
-        all_ends = pa.array(np.append(posts, len(ids))[np.append(blocks, len(posts))].astype(np.int32))
-        n = len(names)
+        n = np.diff(np.append(blocks, len(posts)))
+        sizes = 3 * n + np.add.reduceat(tf, blocks)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        data = np.empty(ends[-1], np.int32)
+        inside = np.arange(len(posts)) - np.repeat(blocks, n)
+        at = np.repeat(ends[:-1], n) + inside
+        for k, values in enumerate((np.array(places)[post_row], tf, lengths[post_row])):
+            data[at + k * np.repeat(n, n)] = values
+        token_block = np.repeat(np.arange(len(blocks)), sizes - 3 * n)
+        data[ends[token_block] + 3 * n[token_block] + np.arange(len(ids)) - posts[blocks][token_block]] = position
         columns = [
-            pa.array([kind] * n, pa.string()), pa.array([field] * n), pa.array(list(names)), pa.array(np.full(n, base), pa.int64()),
-            pa.array(np.diff(np.append(blocks, len(posts))), pa.int32()), pa.array(np.add.reduceat(tf, blocks), pa.int64()), pa.array(np.maximum.reduceat(tf, blocks), pa.int32()), pa.array(np.minimum.reduceat(dl, blocks), pa.int32()),
-            listed(np.array(places)[post_row], pa.int32()), listed(tf, pa.int32()), listed(dl, pa.int32()), pa.ListArray.from_arrays(all_ends, pa.array(position, pa.int32())),
+            pa.array([kind] * len(n), pa.string()), pa.array(np.full(len(n), FIELDS.index(field)), pa.int32()), pa.array(list(names)), pa.array(np.full(len(n), base), pa.int64()),
+            pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(data)),
         ]
-        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in POSTINGS.split(", ")[: len(columns)]])
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in PACKED.split(", ")])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, kind, tokens, places = None, None, 0, []
@@ -198,9 +204,14 @@ class Index:
         rows.select(F.monotonically_increasing_id().alias("doc"), "*").write.option("compression", "zstd").parquet(f"{self.root}/docs/segment={segment}")
         held = self._read("docs", DOCS, "segment", [segment])
         joined = [F.array_join(search_terms(F.col(f)), " ").alias(f) for f in FIELDS]  # a term holds no blank
-        schema = ", ".join(POSTINGS.split(", ")[:-2])
-        blocks = held.select("kind", "doc", *joined).mapInArrow(_blocks_of(self.window), schema)
+        blocks = held.select("kind", "doc", *joined).mapInArrow(_blocks_of(self.window), PACKED)
         blocks = blocks.withColumn("bucket", _bucket(F.col("term"), self.buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "field", "kind", "window")
+        part = lambda k: F.slice("data", 1 + k * F.col("n"), F.col("n"))
+        total = F.size("data") - 3 * F.col("n")
+        blocks = blocks.select(
+            "kind", F.element_at(F.array(*map(F.lit, FIELDS)), F.col("field") + 1).alias("field"), "term", "window", "n", total.cast("long").alias("total"), F.array_max(part(1)).alias("max_tf"),
+            F.array_min(part(2)).alias("min_dl"), part(0).alias("places"), part(1).alias("tfs"), part(2).alias("dls"), F.slice("data", 1 + 3 * F.col("n"), total).alias("positions"), "bucket",
+        )
         blocks.write.option("parquet.writer.version", "v2").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.root}/postings/segment={segment}")
         sums = {r.field: r.n for r in self._read("postings", POSTINGS, "segment", [segment]).groupBy("field").agg(F.sum("total").alias("n")).collect()} if self._buckets(f"postings/segment={segment}") else {}
         return self._counts(held) | {f"{f}_len": sums.get(f, 0) for f in FIELDS}

@@ -43,8 +43,8 @@ FIRST = 32
 LOG = "version long, op string, segment string, added long, docs long, title_docs long, content_docs long, title_len long, content_len long, buckets array<int>, dead_buckets array<int>"
 DOCS = "doc long, uri string, kind string, title string, content string, snippet string, last_modified long, segment string"
 POSTINGS = "kind string, field string, term string, window long, n int, total long, max_tf int, min_dl int, places array<int>, tfs array<int>, dls array<int>, positions array<int>, segment string, bucket int"
-#: A block on its way to its bucket: one array of places, frequencies, lengths and positions, so that rare terms stay short.
-PACKED = "kind string, field int, term string, window long, n int, data array<int>"
+#: A window's blocks on their way to their bucket, in one row, as most terms are rare: a block's data are places, frequencies, lengths and positions.
+PACKED = "kind string, field string, window long, bucket int, terms array<string>, ns array<int>, data array<array<int>>"
 DEAD = "segment string, doc long, by string"
 DEAD_TERMS = "field string, term string, n long, by string, bucket int"
 FIGURES = ("docs", "title_docs", "content_docs", "title_len", "content_len")
@@ -68,8 +68,8 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.crc32(term.cast("binary")), F.lit(buckets)).cast("int")
 
 
-def _blocks_of(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Blocks of rows (kind, doc, and each field's terms joined by blanks), a window of documents at a time.
+def _blocks_of(window: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Packed blocks of rows (kind, doc, and each field's terms joined by blanks), a window of documents at a time.
 
     A window ends where the kind changes, at ``window`` numbers, or at ``TOKENS`` terms; it is
     known by its first document's number, so windows of different tasks don't meet.
@@ -96,9 +96,14 @@ def _blocks_of(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             data[at + k * np.repeat(n, n)] = values
         token_block = np.repeat(np.arange(len(blocks)), sizes - 3 * n)
         data[ends[token_block] + 3 * n[token_block] + np.arange(len(ids)) - posts[blocks][token_block]] = position
+        bucket = np.fromiter((zlib.crc32(t.encode()) % buckets for t in names), np.int64, len(n))
+        order = np.argsort(bucket, kind="stable")
+        held, counts = np.unique(bucket, return_counts=True)
+        groups = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+        listed = lambda values: pa.ListArray.from_arrays(groups, values.take(pa.array(order)))
         columns = [
-            pa.array([kind] * len(n), pa.string()), pa.array(np.full(len(n), FIELDS.index(field)), pa.int32()), pa.array(list(names)), pa.array(np.full(len(n), base), pa.int64()),
-            pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(data)),
+            pa.array([kind] * len(held), pa.string()), pa.array([field] * len(held)), pa.array(np.full(len(held), base), pa.int64()), pa.array(held, pa.int32()),
+            listed(pa.array(list(names))), listed(pa.array(n, pa.int32())), listed(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(data))),
         ]
         return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in PACKED.split(", ")])
 
@@ -204,12 +209,14 @@ class Index:
         rows.select(F.monotonically_increasing_id().alias("doc"), "*").write.option("compression", "zstd").parquet(f"{self.root}/docs/segment={segment}")
         held = self._read("docs", DOCS, "segment", [segment])
         joined = [F.array_join(search_terms(F.col(f)), " ").alias(f) for f in FIELDS]  # a term holds no blank
-        blocks = held.select("kind", "doc", *joined).mapInArrow(_blocks_of(self.window), PACKED)
-        blocks = blocks.withColumn("bucket", _bucket(F.col("term"), self.buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "field", "kind", "window")
+        blocks = held.select("kind", "doc", *joined).mapInArrow(_blocks_of(self.window, self.buckets), PACKED)
+        each = F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("ns").alias("n"), F.col("data").alias("data")))
+        blocks = blocks.hint("rebalance", "bucket").select("kind", "field", "window", "bucket", each).toDF("kind", "field", "window", "bucket", "term", "n", "data")
+        blocks = blocks.sortWithinPartitions("bucket", "term", "field", "kind", "window")
         part = lambda k: F.slice("data", 1 + k * F.col("n"), F.col("n"))
         total = F.size("data") - 3 * F.col("n")
         blocks = blocks.select(
-            "kind", F.element_at(F.array(*map(F.lit, FIELDS)), F.col("field") + 1).alias("field"), "term", "window", "n", total.cast("long").alias("total"), F.array_max(part(1)).alias("max_tf"),
+            "kind", "field", "term", "window", "n", total.cast("long").alias("total"), F.array_max(part(1)).alias("max_tf"),
             F.array_min(part(2)).alias("min_dl"), part(0).alias("places"), part(1).alias("tfs"), part(2).alias("dls"), F.slice("data", 1 + 3 * F.col("n"), total).alias("positions"), "bucket",
         )
         blocks.write.option("parquet.writer.version", "v2").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.root}/postings/segment={segment}")

@@ -44,7 +44,7 @@ LOG = "version long, op string, segment string, added long, docs long, title_doc
 DOCS = "doc long, uri string, kind string, title string, content string, snippet string, last_modified long, segment string"
 POSTINGS = "kind string, field string, term string, window long, n int, total long, max_tf int, min_dl int, places array<int>, tfs array<int>, dls array<int>, positions array<int>, segment string, bucket int"
 #: A window's blocks on their way to their bucket, in one row, as most terms are rare: a block's data are places, frequencies, lengths and positions.
-PACKED = "kind string, field string, window long, bucket int, terms array<string>, ns array<int>, data array<array<int>>"
+PACKED = "kind string, field string, window long, bucket int, terms string, ns array<int>, starts array<int>, data array<int>"
 DEAD = "segment string, doc long, by string"
 DEAD_TERMS = "field string, term string, n long, by string, bucket int"
 FIGURES = ("docs", "title_docs", "content_docs", "title_len", "content_len")
@@ -79,6 +79,11 @@ def _blocks_of(window: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]]
         lengths = np.array([len(x) for x in texts], np.int64)
         names: dict[str, int] = {}
         ids = np.fromiter((names.setdefault(w, len(names)) for x in texts for w in x), np.int64, int(lengths.sum()))
+        bucket = np.fromiter((zlib.crc32(t.encode()) % buckets for t in names), np.int64, len(names))
+        by_bucket = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(names), np.int64)
+        rank[by_bucket] = np.arange(len(names))
+        ids, words = rank[ids], list(names)  # numbered bucket by bucket
         order = np.argsort(ids, kind="stable")
         row = np.repeat(np.arange(len(texts)), lengths)[order]
         position = (np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths))[order]
@@ -96,14 +101,13 @@ def _blocks_of(window: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]]
             data[at + k * np.repeat(n, n)] = values
         token_block = np.repeat(np.arange(len(blocks)), sizes - 3 * n)
         data[ends[token_block] + 3 * n[token_block] + np.arange(len(ids)) - posts[blocks][token_block]] = position
-        bucket = np.fromiter((zlib.crc32(t.encode()) % buckets for t in names), np.int64, len(n))
-        order = np.argsort(bucket, kind="stable")
         held, counts = np.unique(bucket, return_counts=True)
-        groups = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-        listed = lambda values: pa.ListArray.from_arrays(groups, values.take(pa.array(order)))
+        groups = np.concatenate([[0], np.cumsum(counts)])
+        cut = lambda at, values: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values, pa.int32()))
+        terms = [" ".join(words[i] for i in by_bucket[a:b]) for a, b in zip(groups, groups[1:], strict=False)]
         columns = [
             pa.array([kind] * len(held), pa.string()), pa.array([field] * len(held)), pa.array(np.full(len(held), base), pa.int64()), pa.array(held, pa.int32()),
-            listed(pa.array(list(names))), listed(pa.array(n, pa.int32())), listed(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(data))),
+            pa.array(terms), cut(groups, n), cut(groups, ends[:-1] - np.repeat(ends[groups[:-1]], counts)), cut(ends[groups], data),
         ]
         return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in PACKED.split(", ")])
 
@@ -210,7 +214,8 @@ class Index:
         held = self._read("docs", DOCS, "segment", [segment])
         joined = [F.array_join(search_terms(F.col(f)), " ").alias(f) for f in FIELDS]  # a term holds no blank
         blocks = held.select("kind", "doc", *joined).mapInArrow(_blocks_of(self.window, self.buckets), PACKED)
-        each = F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("ns").alias("n"), F.col("data").alias("data")))
+        data = F.transform("starts", lambda s, i: F.slice("data", s + 1, F.coalesce(F.get("starts", i + 1), F.size("data")) - s))
+        each = F.inline(F.arrays_zip(F.split("terms", " ").alias("term"), F.col("ns").alias("n"), data.alias("data")))
         blocks = blocks.hint("rebalance", "bucket").select("kind", "field", "window", "bucket", each).toDF("kind", "field", "window", "bucket", "term", "n", "data")
         blocks = blocks.sortWithinPartitions("bucket", "term", "field", "kind", "window")
         part = lambda k: F.slice("data", 1 + k * F.col("n"), F.col("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -15,8 +17,7 @@ CONTEXT = 3
 def diff(old: list[str], new: list[str]) -> list[tuple[str, str]]:
     """Operations ('=', '-' or '+', line); where both orders serve, deletions come first.
 
-    Common ends are cut off first; of the rest's table of common lengths only two rows are held,
-    and one bit a cell says where the walk back goes.
+    Common ends are cut off first.
     """
     head = 0
     while head < min(len(old), len(new)) and old[head] == new[head]:
@@ -28,27 +29,57 @@ def diff(old: list[str], new: list[str]) -> list[tuple[str, str]]:
     return same(old[:head]) + _inner(old[head : len(old) - tail], new[head : len(new) - tail]) + same(old[len(old) - tail :])
 
 
+def _row(x: int, b: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """A row of the table of common lengths from the row below it: a running maximum from its end."""
+    row = np.zeros(len(b) + 1, np.int32)
+    row[:-1] = np.maximum.accumulate(np.where(b == x, below[1:] + 1, below[:-1])[::-1])[::-1]
+    return row
+
+
 def _inner(old: list[str], new: list[str]) -> list[tuple[str, str]]:
+    """The walk through the table of common lengths, deletions first.
+
+    A line that one side lacks changes no length, so the table has rows and columns of shared
+    lines only.  Of its n rows those at the ends of blocks of sqrt(n) are held; the others are
+    made again, a block at a time, when the walk gets there.
+    """
     ids: dict[str, int] = {}
     a, b = (np.array([ids.setdefault(x, len(ids)) for x in side], np.int64) for side in (old, new))
-    # below[j]: common lines of old[i + 1:] and new[j:]; a row is a running maximum from its end
-    below = np.zeros(len(b) + 1, np.int32)
-    down = [b""] * len(a)  # whether a deletion keeps the length
-    for i in range(len(a) - 1, -1, -1):
-        row = np.zeros(len(b) + 1, np.int32)
-        row[:-1] = np.maximum.accumulate(np.where(b == a[i], below[1:] + 1, below[:-1])[::-1])[::-1]
-        down[i] = np.packbits(below[:-1] >= row[1:]).tobytes()
-        below = row
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
+    in_new, in_old = np.isin(a, b), np.isin(b, a)
+    rows, columns = a[in_new], b[in_old]
+    size = max(1, math.isqrt(len(rows)))
+    held, row = {}, np.zeros(len(columns) + 1, np.int32)
+    for i in range(len(rows), 0, -1):
+        if i % size == 0 or i == len(rows):
+            held[-(-i // size) - 1] = row
+        row = _row(rows[i - 1], columns, row)
+
+    def keeps(block: int) -> list[tuple[bytes, bytes]]:
+        """Of each row of a block, a bit a column: whether a deletion keeps the length, against an insertion and against none."""
+        below, out = held.pop(block), []
+        for x in rows[block * size : (block + 1) * size][::-1]:
+            row = _row(x, columns, below)
+            out.append((np.packbits(below[:-1] >= row[1:]).tobytes(), np.packbits(below >= row).tobytes()))
+            below = row
+        return out[::-1]
+
+    mine, yours, shared_a, shared_b = a.tolist(), b.tolist(), in_new.tolist(), in_old.tolist()
+    out, i, j, r, c, block, bits = [], 0, 0, 0, 0, -1, []
+    while i < len(mine) and j < len(yours):
+        if mine[i] == yours[j]:
             out.append(("=", old[i]))
-            i, j = i + 1, j + 1
-        elif down[i][j >> 3] >> (7 - (j & 7)) & 1:
+            i, j, r, c = i + 1, j + 1, r + 1, c + 1
+            continue
+        if shared_a[i] and r // size != block:
+            block = r // size
+            bits = keeps(block)
+        if not shared_a[i] or bits[r % size][not shared_b[j]][c >> 3] >> (7 - (c & 7)) & 1:
             out.append(("-", old[i]))
+            r += shared_a[i]
             i += 1
         else:
             out.append(("+", new[j]))
+            c += shared_b[j]
             j += 1
     return out + [("-", x) for x in old[i:]] + [("+", x) for x in new[j:]]
 

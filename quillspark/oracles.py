@@ -225,6 +225,10 @@ CASE WHEN contains(content, '## See also') THEN md5(replace(content, '## See als
     "chunk_spans": "SELECT doc_id, strlen(text) AS bytes, CASE WHEN trim(text) <> '' THEN CAST(0 AS BIGINT) END AS first, CASE WHEN trim(text) <> '' THEN strlen(text) END AS last, true AS fits FROM documents",
     "diff_counts": f"""WITH wiki AS ({WIKI}), l AS (SELECT slug, regexp_extract(content, '\\n(See \\[\\[[^\\n]*)', 1) AS line FROM wiki)
 SELECT slug, 2 AS added, 1 AS removed, '-' || line || chr(10) || '+Look at' || substr(line, 4) || chr(10) || '+one more line' AS changed FROM l""",
+    "diff_hunks": f"""WITH wiki AS ({WIKI}), l AS (SELECT slug, len(string_split(content, chr(10))) - 1 AS n, len(string_split(split_part(content, chr(10) || 'See [[', 1), chr(10))) + 1 AS pos FROM wiki),
+s AS (SELECT slug, n, pos, greatest(1, pos - 3) AS s FROM l)
+SELECT slug, CASE WHEN n - pos <= 6 THEN format('@@ -{{}},{{}} +{{}},{{}} @@', s, n - s + 1, s, n - s + 2)
+  ELSE format('@@ -{{}},{{}} +{{}},{{}} @@', s, pos + 4 - s, s, pos + 4 - s) || chr(10) || format('@@ -{{}},3 +{{}},4 @@', n - 2, n - 2) END AS hunks FROM s""",
     "migrate_links": f"WITH wiki AS ({WIKI}) SELECT slug, CAST(len({LEGACY.format('content')}) AS INTEGER) AS links, md5(regexp_replace(content, '(^|[^(])wiki://page/([A-Za-z0-9._-]*[A-Za-z0-9_-])', '\\1[[\\2]]', 'g')) AS content_md5 FROM wiki",
     "proposal_conflicts": "SELECT 'p-' || CAST(doc_id AS STRING) AS proposal_id, CASE WHEN doc_id % 5 = 0 THEN 'closed' WHEN doc_id % 3 = 0 THEN 'conflict' ELSE 'applied' END AS outcome FROM documents",
     "rawindex_upsert": "SELECT 'u' || CAST(user_id AS STRING) AS source_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id",

@@ -499,6 +499,14 @@ def diff_counts(spark, sf_dir):
     return rows.select("slug", "d.added", "d.removed", changed.alias("changed"))
 
 
+@query
+def diff_hunks(spark, sf_dir):
+    """The heads of the hunks of the same change: where they begin in both texts, and their lines with context."""
+    new = F.concat(F.replace(F.col("content"), F.lit("\nSee [["), F.lit("\nLook at [[")), F.lit("one more line\n"))
+    rows = wiki(spark, sf_dir).select("slug", diffing.compared("content", new).alias("d"))
+    return rows.select("slug", F.array_join(F.filter(F.split("d.diff", "\n"), lambda x: x.startswith("@@ ")), "\n").alias("hunks"))
+
+
 @query
 def migrate_links(spark, sf_dir):
     rows = wiki(spark, sf_dir).select("slug", rewrite.rewritten("content").alias("r"))

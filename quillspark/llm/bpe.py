@@ -96,6 +96,8 @@ class Codec:
         ranks = sorted(read_ranks(vocabulary).items(), key=lambda x: x[1])
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model_proto(dict(ranks)))
         self.whole = {token: np.array(rank, np.uint32).tobytes() for token, rank in ranks}
+        utf8 = (i for i in range(256) if i not in (0xC0, 0xC1) and i < 0xF5)
+        self.missing = bytes(i for i in utf8 if bytes([i]) not in self.whole)
         self.rank = np.array([0, *(rank for _, rank in ranks)], np.uint32)
         top = ranks[-1][1] + 1 if ranks else 1
         self.tokens = self._store({rank: token for token, rank in ranks}, top)
@@ -108,7 +110,14 @@ class Codec:
         return np.frombuffer(b"".join(values.get(i, b"") for i in range(top)), np.uint8), np.cumsum(sizes) - sizes, sizes
 
     def encode_tokens(self, tokens: list[bytes]) -> list[bytes]:
-        """Each pre-token on its own.  The library gets many at a time, parted by line ends, which no piece holds."""
+        """Each pre-token on its own.  The library gets many at a time, parted by line ends, which no piece holds.
+
+        A byte that is no token is an error, but in a pre-token that is a token as a whole.
+        """
+        if self.missing:
+            for r in tokens:
+                if r not in self.whole and r.translate(None, self.missing) != r:
+                    raise ValueError(f"a byte of {r!r} is no token of the vocabulary")
         out: list[bytes] = []
         for i in range(0, len(tokens), 128):
             raw = tokens[i : i + 128]

@@ -1,5 +1,6 @@
 """Training-data operators against brute force, on odd rows: nulls, blanks, repeats, clashing columns, no rows."""
 
+import base64
 import hashlib
 import math
 import re
@@ -53,6 +54,14 @@ def test_bpe(spark):
     assert bpe.encode_documents(df.limit(0), VOCABULARY, public_tokenizers.PATTERN).count() == 0
 
 
+def test_byte_without_token():
+    own = bpe.Codec(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate((b"a", b"b", b"ab", b"dd"))), public_tokenizers.PATTERN)
+    assert [x.tolist() for x in own.encode(["abb", "dd", ""])] == [[2, 1, 3], [2, 1, 0]]
+    for text in ("abd", "d", "\u00e9"):
+        with pytest.raises(ValueError, match="no token"):
+            own.encode([text])
+
+
 def test_pretokens():
     import random
 
